@@ -1,0 +1,18 @@
+"""The collection engine's queries for __spark_entry__.py."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def finished_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    price = F.col("o_totalprice")
+    return orders.where((F.col("o_orderstatus") == "F") & (price >= 1000)).agg(F.count("*").alias("n"), F.min(price).alias("lo"), F.max(price).alias("hi"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"finished_orders": finished_orders}
+ORACLE_SQL: dict[str, str] = {"finished_orders": "select count(*) as n, min(o_totalprice) as lo, max(o_totalprice) as hi from orders where o_orderstatus='F' and o_totalprice>=1000"}
