@@ -1,0 +1,79 @@
+import random
+
+import numpy as np
+import pytest
+
+from quillon.llm import suffix_dedup as S
+from quillon.llm import windows
+
+
+def brute(texts, length):
+    seen = {}
+    for i, t in enumerate(texts):
+        for p in range(len(t) - length + 1):
+            seen.setdefault(t[p : p + length], []).append((i, p))
+    gone = [np.zeros(len(t), bool) for t in texts]
+    for places in seen.values():
+        if len(places) > 1:
+            for i, p in places:
+                gone[i][p : p + length] = True
+    return gone
+
+
+def corpus(seed, n=25):
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdé") for _ in range(rng.randint(1, 6)))
+    passages = [" ".join(word() for _ in range(40)) for _ in range(4)]
+    texts = []
+    for _ in range(n):
+        t = " ".join(rng.choice(passages) if rng.random() < 0.3 else word() for _ in range(rng.randint(0, 30)))
+        texts.append(t)
+    return [*texts, texts[0], texts[1][3:], "", "a" * 300, "a" * 300 + "b", "zz" + "a" * 120, "ab" * 200, None]
+
+
+@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("listed", [0, 10**6])
+def test_two_stage_sorts_suffixes(seed, listed, monkeypatch):
+    monkeypatch.setattr(S, "LISTED", listed)
+    rng = random.Random(seed)
+    texts = [bytes(rng.choice(b"aab") for _ in range(rng.randint(1, 80))) for _ in range(12)]
+    text = np.frombuffer(b"\xff".join([*texts, b""]), np.uint8)
+    starts = text != 255
+    order, common = S.two_stage(text, starts, 24)
+    raw = text.tobytes() + b"\xff" * 24
+    assert sorted(order.tolist()) == np.flatnonzero(starts).tolist()
+    keys = [raw[i : i + 24] for i in order]
+    assert keys == sorted(keys)
+    for i in range(1, len(keys)):
+        same = next((k for k, (x, y) in enumerate(zip(keys[i - 1], keys[i], strict=True)) if x != y), 24)
+        assert common[i] == same or max(order[i - 1], order[i]) + same >= len(text)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_remove_repeats_equals_brute_force(spark, seed):
+    texts = corpus(seed)
+    rows = [(i, t, "x", i, "mine") for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, th string, a int, segs string").repartition(3)
+    out = {r["doc_id"]: r for r in S.remove_repeats(df, length=60, gram=8).collect()}
+    raw = [(t or "").encode() for t in texts]
+    assert len(out) == len(rows)
+    for i, gone in enumerate(brute(raw, 60)):
+        assert out[i]["kept"] == bytes(np.frombuffer(raw[i], np.uint8)[~gone]), i
+        x, y = S.runs(gone)
+        assert [(s["start"], s["end"]) for s in out[i]["spans"]] == list(zip(x.tolist(), y.tolist(), strict=True))
+        assert out[i]["segs"] == "mine"
+
+
+def test_empty_table_and_repeated_rows(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert S.remove_repeats(empty).collect() == []
+    twice = spark.createDataFrame([(1, "x" * 500), (1, "x" * 500), (1, "y z" * 100), (None, "w" * 399)], "doc_id long, text string")
+    out = sorted((r["doc_id"] or 0, len(r["kept"])) for r in S.remove_repeats(twice).collect())
+    assert out == [(0, 399), (1, 0), (1, 0), (1, 300)]
+
+
+def test_sliding_min():
+    rng = np.random.default_rng(1)
+    for n, w in ((10, 3), (40, 17), (64, 64), (5, 9), (33, 1)):
+        key = rng.integers(0, 99, n).astype(np.uint64)
+        assert windows.sliding_min(key, w).tolist() == [key[i : i + w].min() for i in range(n - w + 1)]
