@@ -235,9 +235,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     """docs with `kept` (the text's bytes that are left) and `spans` (start and end of each removed run of bytes)."""
     there = windows.keyed(docs, row=F.struct(*(docs[c] for c in docs.columns if c not in ("kept", "spans"))))
     found = windows.with_lists(there, repeats(docs, length, gram), "left")
-    names = [f for f in found.schema["row"].dataType.fields]
-    kind = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in names)
-    out = found.select("row", "text", "segs").mapInArrow(_strip(length), f"row struct<{kind}>, kept binary, spans array<struct<start: int, end: int>>")
+    kind = windows.struct_type(found, "row")
+    out = found.select("row", "text", "segs").mapInArrow(_strip(length), f"row {kind}, kept binary, spans array<struct<start: int, end: int>>")
     return out.select("row.*", "kept", "spans")
 
 

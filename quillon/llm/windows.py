@@ -98,3 +98,8 @@ def with_lists(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
     lists = rows.groupBy("doc_id", "th").agg(F.collect_list("seg").alias("segs")).withColumnsRenamed({"doc_id": "d", "th": "t"})
     same = (docs["th"] == lists["t"]) & docs["doc_id"].eqNullSafe(lists["d"])
     return docs.join(lists.hint("shuffle_hash"), same, how).drop("d", "t")
+
+
+def struct_type(df: DataFrame, column: str) -> str:
+    """The type of a struct column, with quoted names."""
+    return "struct<" + ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in df.schema[column].dataType.fields) + ">"
