@@ -1,0 +1,79 @@
+import random
+
+import pytest
+import xxhash
+
+from quillon.llm import simhash as S
+from quillon.llm.components import components
+
+
+def slow_print(text, k):
+    words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    for c in "\t\n\x0b\x0c\r":
+        words = words.replace(c, " ")
+    words = [w for w in words.split(" ") if w]
+    if not words:
+        return 0
+    shingles = [" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))]
+    h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def closed(values, radius):
+    top = {v: v for v in values}
+    changed = True
+    while changed:
+        changed = False
+        for a in values:
+            for b in values:
+                if (a ^ b).bit_count() <= radius and top[a] != top[b]:
+                    top[a] = top[b] = min(top[a], top[b])
+                    changed = True
+    return top
+
+
+@pytest.mark.parametrize("crowd", [10**6, 3])
+def test_components_equal_brute_force(spark, crowd):
+    rng = random.Random(5)
+    words = ["The", "a", "cat", "É", "x\x1fy", "dog", "sat", "on", "mat"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 12))) for _ in range(60)]
+    long = [rng.choice(words) + str(rng.randint(0, 50)) for _ in range(400)]
+    for _ in range(25):
+        w = list(long)
+        for _ in range(rng.randint(0, 4)):
+            w[rng.randrange(len(w))] = "z"
+        texts.append("\n".join(w))
+    rows = [(100 - i, t) for i, t in enumerate([*texts, None, "", texts[0], texts[0].upper()])]
+    rows += [rows[0], (None, "alone here"), (None, texts[3])]
+    df = spark.createDataFrame([(*r, "f") for r in rows], "doc_id long, text string, fingerprint string").repartition(4)
+    out = S.near_duplicates(df, crowd=crowd).collect()
+    prints = [slow_print(t, 3) for _, t in rows]
+    top = closed(sorted(set(prints)), 2)
+    least = {}
+    for (d, _), p in zip(rows, prints, strict=True):
+        if d is not None:
+            least[top[p]] = min(d, least.get(top[p], d))
+    want = sorted(((d, f"{p:016x}", least.get(top[p])) for (d, _), p in zip(rows, prints, strict=True)), key=str)
+    assert sorted(((r["doc_id"], r["fingerprint"], r["component_id"]) for r in out), key=str) == want
+    kept = [r["doc_id"] for r in S.keep_one(df).collect()]
+    assert sorted(kept, key=str) == sorted([*set(least.values()), None, None], key=str)
+
+
+def test_bk_tree_finds_all_within_the_radius():
+    rng = random.Random(2)
+    values = [rng.getrandbits(64) for _ in range(50)]
+    values += [v ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for v in values]
+    tree = S.BKTree()
+    for n, v in enumerate(values):
+        assert sorted(tree.search_and_add(v, 3)) == [i for i in range(n) if (values[i] ^ v).bit_count() <= 3]
+
+
+def test_components_of_a_chain(spark):
+    n = 300
+    df = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(1000, 999), (5, 5)], "a long, b long")
+    got = {r["node"]: r["top"] for r in components(df).collect()}
+    assert got == {**{i: 0 for i in range(n + 1)}, 999: 999, 1000: 999}
+
+
+def test_empty_table(spark):
+    assert S.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
