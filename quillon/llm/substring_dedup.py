@@ -23,9 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import windows
-from .common import parts, written
+from .common import unzipped, written
 from .suffix_dedup import runs
-from .textvec import Texts, buffers
+from .textvec import Texts
 
 LENGTH, GRAM = 50, 6
 #: Windows in one automaton at most, as long as it serves more than one group of segments.
@@ -42,17 +42,16 @@ def _cut(length: int):
     """The words of the wanted segments, as text."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in parts(whole):
-                found = Texts(batch.column("text"))
-                lists = batch.column("segs")
-                seg, owner = lists.flatten(), np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
-                first = found.words_at[owner] + seg.field("a").to_numpy()
-                last = first + seg.field("n").to_numpy() - 1 + length - 1
-                begin, stop = found.start[first], found.end[last]
-                for i in range(0, len(owner), 2000):
-                    bits = pa.array([found.data[x:y].tobytes() for x, y in zip(begin[i : i + 2000], stop[i : i + 2000], strict=True)], pa.binary())
-                    yield pa.RecordBatch.from_arrays([*(seg.field(k)[i : i + 2000] for k in ("mh", "sh", "least", "n")), bits], names=["mh", "sh", "least", "n", "bits"])
+        for batch in batches:
+            found = Texts(pa.array(unzipped(batch.column("text")), pa.large_binary()))
+            lists = batch.column("segs")
+            seg, owner = lists.flatten(), np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+            first = found.words_at[owner] + seg.field("a").to_numpy()
+            last = first + seg.field("n").to_numpy() - 1 + length - 1
+            begin, stop = found.start[first], found.end[last]
+            for i in range(0, len(owner), 2000):
+                bits = pa.array([found.data[x:y].tobytes() for x, y in zip(begin[i : i + 2000], stop[i : i + 2000], strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(seg.field(k)[i : i + 2000] for k in ("mh", "sh", "least", "n")), bits], names=["mh", "sh", "least", "n", "bits"])
 
     return rows
 
@@ -123,11 +122,10 @@ def _strip(length: int):
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, at = buffers(batch.column("text"))
-            raw = data.tobytes()
+            texts = unzipped(batch.column("text"))
             kept, spans, total = [], [], []
-            for i, segs in enumerate(batch.column("segs").to_pylist()):
-                words = raw[at[i] : at[i + 1]].split()
+            for text, segs in zip(texts, batch.column("segs").to_pylist(), strict=True):
+                words = text.split()
                 total.append(len(words))
                 own: list[dict] = []
                 if segs:
@@ -138,9 +136,10 @@ def _strip(length: int):
                     gone = np.cumsum(gone[:-1]) > 0
                     own = [{"start": int(x), "end": int(y)} for x, y in zip(*runs(gone), strict=True)]
                     words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
-                kept.append(b" ".join(words).decode())
+                kept.append(b" ".join(words))
                 spans.append(own)
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(kept, pa.string()), pa.array(total, pa.int64()), pa.array(spans, kind)], names=["row", "kept", "n_words", "spans"])
+            strings = [pa.array(x, pa.binary()).cast(pa.string()) for x in (texts, kept)]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), *strings, pa.array(total, pa.int64()), pa.array(spans, kind)], names=["row", "text", "kept", "n_words", "spans"])
 
     return rows
 
@@ -148,22 +147,24 @@ def _strip(length: int):
 def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """doc_id, th and seg (struct a, n): the n windows from word a on also start in a document with a smaller doc_id."""
     base = windows.keyed(docs)
-    segs = written(base.mapInArrow(windows.segment_rows(_words, length, gram), windows.SEGMENTS), "phrase-segments")
-    kinds = segs.groupBy("mh", "sh").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.min(F.struct("doc_id", "th", "a", "n")).alias("first"))
-    groups = segs.groupBy("mh").agg(F.min("doc_id").alias("l"), F.max("doc_id").alias("m"), (F.min("sh") != F.max("sh")).alias("mixed")).where("l < m").select("mh", "mixed")
-    kinds = written(kinds.join(groups, "mh"), "phrase-kinds")
-    wanted = kinds.where("mixed").select("first.doc_id", "first.th", F.struct("mh", "sh", "least", "first.a", "first.n").alias("seg"))
-    pieces = windows.with_lists(base, wanted, "inner").mapInArrow(_cut(length), "mh long, sh long, least long, n int, bits binary")
+    segs = base.mapInArrow(windows.segment_rows(_words, length, gram), windows.SEGMENTS)
+    groups = segs.groupBy("mh").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), (F.min("sh") != F.max("sh")).alias("mixed"))
+    groups = written(groups.where("least < most").select("mh", "least", "mixed"), "phrase-groups")
+    shared = written(segs.join(groups.hint("shuffle_hash"), "mh"), "phrase-shared")
+    mixed = shared.where("mixed").drop("least")
+    kinds = mixed.groupBy("mh", "sh").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "th", "a", "n")).alias("first"))
+    wanted = kinds.select("first.doc_id", "first.th", F.struct("mh", "sh", "least", "first.a", "first.n").alias("seg"))
+    pieces = windows.with_lists(base, wanted, "inner").select("text", "segs").mapInArrow(_cut(length), "mh long, sh long, least long, n int, bits binary")
     located = pieces.repartition("mh").sortWithinPartitions("mh").mapInArrow(_shards(length), "mh long, sh long, skip int, run int, least long")
-    plain = kinds.where("not mixed").select("mh", "sh", F.lit(0).alias("skip"), F.col("first.n").alias("run"), "least")
-    found = segs.join(plain.unionByName(located), ["mh", "sh"]).where("least < doc_id")
-    return found.select("doc_id", "th", F.struct((F.col("a") + F.col("skip")).alias("a"), F.col("run").alias("n")).alias("seg"))
+    at_once = shared.where("not mixed and least < doc_id").select("doc_id", "th", F.struct("a", "n").alias("seg"))
+    found = mixed.join(located, ["mh", "sh"]).where("least < doc_id")
+    return at_once.unionByName(found.select("doc_id", "th", F.struct((F.col("a") + F.col("skip")).alias("a"), F.col("run").alias("n")).alias("seg")))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """docs with `kept` (the words left, joined by one space), `n_words` (before) and `spans` (first word and end of each removed run)."""
-    there = windows.keyed(docs, row=F.struct(*(docs[c] for c in docs.columns if c not in ("kept", "n_words", "spans"))))
+    names = [c for c in docs.columns if c not in ("kept", "n_words", "spans")]
+    there = windows.keyed(docs, row=F.struct(*(docs[c] for c in names if c != "text")))
     found = windows.with_lists(there, repeats(docs, length, gram), "left")
-    kind = windows.struct_type(found, "row")
-    out = found.select("row", "text", "segs").mapInArrow(_strip(length), f"row {kind}, kept string, n_words long, spans array<struct<start: int, end: int>>")
-    return out.select("row.*", "kept", "n_words", "spans")
+    out = found.select("row", "text", "segs").mapInArrow(_strip(length), f"row {windows.struct_type(found, 'row')}, text string, kept string, n_words long, spans array<struct<start: int, end: int>>")
+    return out.select(*("text" if c == "text" else F.col("row").getField(c).alias(c) for c in names), "kept", "n_words", "spans")

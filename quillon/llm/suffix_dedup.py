@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import windows
-from .common import written
+from .common import unzipped, written
 from .textvec import _BYTES, buffers
 
 LENGTH, GRAM = 400, 16
@@ -153,7 +153,7 @@ def _cut(length: int):
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, at = buffers(batch.column("text"))
+            data, at = windows.unpacked(unzipped(batch.column("text")))
             lists = batch.column("segs")
             seg, owner = lists.flatten(), np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
             a, n = seg.field("a").to_numpy(), seg.field("n").to_numpy()
@@ -202,18 +202,21 @@ def _strip(length: int):
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, at = buffers(batch.column("text"))
+            texts = unzipped(batch.column("text"))
             kept, spans = [], []
-            for i, segs in enumerate(batch.column("segs").to_pylist()):
-                own = data[at[i] : at[i + 1]]
-                gone = np.zeros(len(own) + 1, np.int32)
-                for s in segs or ():
+            for text, segs in zip(texts, batch.column("segs").to_pylist(), strict=True):
+                if not segs:
+                    kept.append(text)
+                    spans.append([])
+                    continue
+                gone = np.zeros(len(text) + 1, np.int32)
+                for s in segs:
                     gone[s["a"]] += 1
                     gone[s["a"] + s["n"] - 1 + length] -= 1
                 gone = np.cumsum(gone[:-1]) > 0
-                spans.append([{"start": int(x), "end": int(y)} for x, y in zip(*runs(gone), strict=True)] if segs else [])
-                kept.append((own[~gone] if segs else own).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(kept, pa.binary()), pa.array(spans, kind)], names=["row", "kept", "spans"])
+                spans.append([{"start": int(x), "end": int(y)} for x, y in zip(*runs(gone), strict=True)])
+                kept.append(np.frombuffer(text, np.uint8)[~gone].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(kept, pa.binary()), pa.array(spans, kind)], names=["row", "text", "kept", "spans"])
 
     return rows
 
@@ -221,23 +224,28 @@ def _strip(length: int):
 def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """doc_id, th and seg (struct a, n): the n starts from byte a on begin a string of `length` bytes that is also elsewhere."""
     base = windows.keyed(docs)
-    segs = written(base.mapInArrow(windows.segment_rows(_bytes, length, gram), windows.SEGMENTS), "suffix-segments")
-    kinds = segs.groupBy("mh", "sh").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "th", "a", "n")).alias("first"))
-    groups = kinds.groupBy("mh").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    mixed = kinds.join(groups, "mh").select("first.doc_id", "first.th", F.struct("mh", (F.col("copies") == 1).alias("alone"), "first.a", "first.n").alias("seg"))
-    pieces = windows.with_lists(base, mixed, "inner").mapInArrow(_cut(length), "doc_id long, th long, mh long, alone boolean, a int, n int, bits binary")
+    segs = base.mapInArrow(windows.segment_rows(_bytes, length, gram), windows.SEGMENTS)
+    groups = segs.groupBy("mh").agg(F.count("*").alias("copies"), (F.min("sh") != F.max("sh")).alias("mixed"))
+    groups = written(groups.where("copies > 1").select("mh", "mixed"), "suffix-groups")
+    shared = written(segs.join(groups.hint("shuffle_hash"), "mh"), "suffix-shared")
+    mixed = shared.where("mixed")
+    kinds = written(mixed.groupBy("mh", "sh").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "th", "a", "n")).alias("first")), "suffix-kinds")
+    wanted = kinds.select("first.doc_id", "first.th", F.struct("mh", (F.col("copies") == 1).alias("alone"), "first.a", "first.n").alias("seg"))
+    pieces = windows.with_lists(base, wanted, "inner").select("doc_id", "th", "text", "segs").mapInArrow(_cut(length), "doc_id long, th long, mh long, alone boolean, a int, n int, bits binary")
     sorted_ = pieces.repartition("mh").sortWithinPartitions("mh").mapInArrow(_sort_blocks(length), "doc_id long, th long, a int, n int")
-    copied = segs.join(kinds.where("copies > 1").select("mh", "sh"), ["mh", "sh"], "left_semi").select("doc_id", "th", "a", "n")
-    return copied.unionByName(sorted_).select("doc_id", "th", F.struct("a", "n").alias("seg"))
+    copied = mixed.join(kinds.where("copies > 1").select("mh", "sh"), ["mh", "sh"], "left_semi")
+    found = [shared.where("not mixed"), copied, sorted_]
+    found = [x.select("doc_id", "th", F.struct("a", "n").alias("seg")) for x in found]
+    return found[0].unionByName(found[1]).unionByName(found[2])
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """docs with `kept` (the text's bytes that are left) and `spans` (start and end of each removed run of bytes)."""
-    there = windows.keyed(docs, row=F.struct(*(docs[c] for c in docs.columns if c not in ("kept", "spans"))))
+    names = [c for c in docs.columns if c not in ("kept", "spans")]
+    there = windows.keyed(docs, row=F.struct(*(docs[c] for c in names if c != "text")))
     found = windows.with_lists(there, repeats(docs, length, gram), "left")
-    kind = windows.struct_type(found, "row")
-    out = found.select("row", "text", "segs").mapInArrow(_strip(length), f"row {kind}, kept binary, spans array<struct<start: int, end: int>>")
-    return out.select("row.*", "kept", "spans")
+    out = found.select("row", "text", "segs").mapInArrow(_strip(length), f"row {windows.struct_type(found, 'row')}, text string, kept binary, spans array<struct<start: int, end: int>>")
+    return out.select(*("text" if c == "text" else F.col("row").getField(c).alias(c) for c in names), "kept", "spans")
 
 
 def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

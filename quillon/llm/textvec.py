@@ -59,7 +59,7 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     if texts.null_count:
-        texts = pc.fill_null(texts, "")
+        texts = pc.fill_null(texts, pa.scalar("", pa.string()).cast(texts.type))
     kind = np.int64 if pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type) else np.int32
     if not len(texts):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts
+from .common import parts, zipped
 from .textvec import Rolling
 
 SEGMENTS = "doc_id long, th long, mh long, sh long, a int, n int"
@@ -93,13 +93,27 @@ def keyed(docs: DataFrame, **more) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"), *(c.alias(k) for k, c in more.items()))
 
 
+def _zip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        at = batch.schema.get_field_index("text")
+        yield batch.set_column(at, "text", zipped(batch.column("text")))
+
+
 def with_lists(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
-    """docs (of keyed()) with the list `segs` of the struct `seg` of rows of the same doc_id and th."""
+    """docs (of keyed(); their texts compressed) with the list `segs` of the struct `seg` of rows of the same doc_id and th."""
+    kinds = ", ".join(f"`{f.name}` {'binary' if f.name == 'text' else struct_type(docs, f.name)}" for f in docs.schema.fields)
+    docs = docs.mapInArrow(_zip, kinds)
     lists = rows.groupBy("doc_id", "th").agg(F.collect_list("seg").alias("segs")).withColumnsRenamed({"doc_id": "d", "th": "t"})
     same = (docs["th"] == lists["t"]) & docs["doc_id"].eqNullSafe(lists["d"])
     return docs.join(lists.hint("shuffle_hash"), same, how).drop("d", "t")
 
 
 def struct_type(df: DataFrame, column: str) -> str:
-    """The type of a struct column, with quoted names."""
-    return "struct<" + ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in df.schema[column].dataType.fields) + ">"
+    """The type of a column; names in a struct are quoted."""
+    kind = df.schema[column].dataType
+    return "struct<" + ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in kind.fields) + ">" if hasattr(kind, "fields") else kind.simpleString()
+
+
+def unpacked(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts together, and where each begins (one more at the end)."""
+    return np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in texts])]).astype(np.int64)
