@@ -35,15 +35,21 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, until release()."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _SCRATCH.setdefault(id(spark.sparkContext), []).append(path)
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, computed once and read back from a Parquet table in the shared folder.
 
     This cuts the lineage: a lost executor costs no more than the reading of its part.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    _SCRATCH.setdefault(id(spark.sparkContext), []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

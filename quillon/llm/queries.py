@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality_rules, ranking, simhash, substring_dedup, suffix_dedup
-from .common import table
+from . import mixing, quality_rules, ranking, simhash, substring_dedup, suffix_dedup, warc
+from .common import scratch_path, table
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,5 +50,23 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_substring_dedup, op3_mixing, op6_simhash, op8_quality_classifier, op9_suffix_dedup)}
-ORACLE_SQL: dict[str, str] = {"op3_mixing": mixing.ORACLE}
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), path)
+    found = warc.read(spark, path).where("gap_length is null")
+    number = lambda c: F.regexp_extract(c, r"^<urn:x-page:(-?\d+)>$", 1).try_cast("long")
+    return found.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_substring_dedup, op3_mixing, op6_simhash, op8_quality_classifier, op9_suffix_dedup, op10_warc)}
+ORACLE_SQL: dict[str, str] = {
+    "op3_mixing": mixing.ORACLE,
+    "op10_warc": """
+        with p as (select page_id, coalesce(html, '') as h, strlen(coalesce(html, '')) as payload_bytes from pages),
+        q as (select *, sha256(h) as payload_digest, min(page_id) over (partition by h) as f from p)
+        select page_id, payload_bytes, payload_digest,
+          case when payload_bytes >= 100 and page_id > f then 'revisit' else 'response' end as record_type,
+          case when payload_bytes >= 100 and page_id > f then f end as refers_to
+        from q
+    """,
+}
