@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality_rules, ranking, simhash, substring_dedup, suffix_dedup, warc
+from . import bpe, mixing, quality_rules, ranking, simhash, substring_dedup, suffix_dedup, warc
 from .common import scratch_path, table
 
 
@@ -26,6 +26,14 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.placed(table(spark, sf_dir, "documents").select("doc_id", "source"))
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    out = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN), ranks)
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -58,7 +66,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_substring_dedup, op3_mixing, op6_simhash, op8_quality_classifier, op9_suffix_dedup, op10_warc)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_substring_dedup, op3_mixing, op4_bpe, op6_simhash, op8_quality_classifier, op9_suffix_dedup, op10_warc)}
 ORACLE_SQL: dict[str, str] = {
     "op3_mixing": mixing.ORACLE,
     "op10_warc": """

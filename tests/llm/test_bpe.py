@@ -1,0 +1,38 @@
+import random
+
+import numpy as np
+import pytest
+
+tiktoken = pytest.importorskip("tiktoken")
+P = pytest.importorskip("public_tokenizers")
+
+from quillon.llm import bpe  # noqa: E402
+
+
+def test_equals_tiktoken_and_round_trips(spark):
+    ranks = bpe.load_ranks(P.path("byte_bpe_50k.tiktoken"))
+    own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(4)
+    odd = ["\x1c", "\x1f", "\x85", "\xa0", " ", "​", "﻿", "'s", "'t", "''", " ", "  ", "\n", "\r\n", "\t", "é", "ß", "汉", "١", "²", "🙂", "a", "Zz", "12", "_", "-", "\x00", "<|endoftext|>", "ʼ", "́"]
+    texts = ["".join(rng.choice(odd) for _ in range(rng.randint(0, 40))) for _ in range(300)] + ["", None, "word " * 3000, " "]
+    rows = [(i % 290, t) for i, t in enumerate(texts)] + [(None, "null id"), (None, "null id")]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, decoded string").repartition(3)
+    out = bpe.decode(bpe.encode(df, ranks, P.PATTERN), ranks).collect()
+    want = [(d, own.encode_ordinary(t or ""), (t or "").encode()) for d, t in rows]
+    got = [(r["doc_id"], np.frombuffer(r["ids"], "<u4").tolist(), bytes(r["decoded"])) for r in out]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    assert all(r["n_tokens"] * 4 == len(r["ids"]) for r in out)
+    assert bpe.encode(df.limit(0), ranks, P.PATTERN).collect() == []
+
+
+def test_decode_edges(spark):
+    ranks = {b"a": 0, b"bc": 2}
+    df = spark.createDataFrame([(1, np.array([0, 2, 2], "<u4").tobytes()), (2, None), (3, b"")], "doc_id long, ids binary")
+    assert [bytes(r["decoded"]) for r in bpe.decode(df, ranks).orderBy("doc_id").collect()] == [b"abcbc", b"", b""]
+    with pytest.raises(Exception, match="without a token"):
+        bpe.decode(spark.createDataFrame([(1, np.array([1], "<u4").tobytes())], "doc_id long, ids binary"), ranks).collect()
+
+
+def test_pack():
+    for n in ([], [0], [5, 70_000, 2**32 - 1], list(range(1000))):
+        assert bpe.unpack(bpe.pack(np.array(n, np.int64))).tolist() == n
