@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, quality_rules, ranking, simhash, substring_dedup, suffix_dedup, warc
+from . import ann, bpe, mixing, quality_rules, ranking, simhash, substring_dedup, suffix_dedup, warc
 from .common import scratch_path, table
 
 
@@ -34,6 +34,11 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -66,9 +71,19 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_substring_dedup, op3_mixing, op4_bpe, op6_simhash, op8_quality_classifier, op9_suffix_dedup, op10_warc)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_substring_dedup, op3_mixing, op4_bpe, op5_nearest, op6_simhash, op8_quality_classifier, op9_suffix_dedup, op10_warc)}
 ORACLE_SQL: dict[str, str] = {
     "op3_mixing": mixing.ORACLE,
+    "op5_nearest": """
+        with v as (
+          select vec_id, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings
+          where vec_id is not null and embedding is not null
+            and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0
+        ),
+        p as (select q.vec_id as query_id, v.vec_id, list_inner_product(q.e, v.e) as score from v q join v on q.vec_id % 20 = 0 and q.vec_id <> v.vec_id),
+        r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from p)
+        select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 20
+    """,
     "op10_warc": """
         with p as (select page_id, coalesce(html, '') as h, strlen(coalesce(html, '')) as payload_bytes from pages),
         q as (select *, sha256(h) as payload_digest, min(page_id) over (partition by h) as f from p)

@@ -1,0 +1,61 @@
+import numpy as np
+import pytest
+
+from quillon.llm import ann
+
+
+def product(x, y):
+    total = 0.0
+    for a, b in zip(x, y, strict=True):
+        total += a * b
+    return total
+
+
+def brute(rows, k, ask):
+    ok = {}
+    for i, v in rows:
+        if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v):
+            ok.setdefault((i, tuple(map(float, v))), None)
+    out = set()
+    for q, x in ok:
+        if ask(q):
+            # of several rows with one id, each vector is asked for
+            found = sorted(((-product(x, y), i) for i, y in ok if i != q and len(y) == len(x)))
+            out |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(found[:k])}
+    return out
+
+
+def test_exact_search_equals_brute_force(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=6).round(2).tolist()) for i in range(300)]
+    rows += [(1000 + i, rows[40][1]) for i in range(60)]  # a very common vector
+    rows += [(2000 + i, [3.0 * x for x in rows[i][1]]) for i in range(20)]
+    rows += [(5000, None), (5010, [0.0] * 6), (5020, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (5030, [float("nan")] * 6), (5040, [float("inf")] + [0.0] * 5), (5050, []), (None, [1.0] * 6), (5060, [1.0, 2.0]), (5061, [2.0, 1.0]), rows[0], (5070, [-0.0, 1.0])]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, label int").repartition(5)
+    out = ann.nearest(df, df.where("vec_id % 10 = 0"), k=7, shard=50, block=16)
+    got = {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in out.collect()}
+    assert got == brute(rows, 7, lambda q: q % 10 == 0)
+    assert ann.nearest(df.limit(0), df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize(("factor", "least"), [(1.0, 1.0), (2.0, 0.9)])
+def test_recall_and_pruning(factor, least):
+    rng = np.random.default_rng(4)
+    centers = rng.normal(size=(40, 16)) * 4
+    points = np.concatenate([c + rng.normal(size=(100, 16)) * 0.3 for c in centers])
+    queries = points[::37]
+    tree = ann.VPTree(points, leaf=32)
+    seen = 0
+    far = tree._far
+
+    def counted(x, rows):
+        nonlocal seen
+        seen += len(x) * len(rows)
+        return far(x, rows)
+
+    tree._far = counted
+    who, _ = tree.search(queries, 10, factor)
+    d = np.linalg.norm(queries[:, None] - points[None], axis=2)
+    want = np.argsort(d, axis=1, kind="stable")[:, :10]
+    recall = np.mean([len(set(a) & set(b)) / 10 for a, b in zip(who.tolist(), want.tolist(), strict=True)])
+    assert recall >= least and seen < len(queries) * len(points) / 2
