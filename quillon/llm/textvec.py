@@ -72,10 +72,10 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class Texts:
     """A batch of texts with their words `[^\\x20\\x09-\\x0D]+`."""
 
-    def __init__(self, texts: pa.Array, lower: bool = False):
+    def __init__(self, texts: pa.Array, fold: np.ndarray | None = None):
         self.data, self.at = buffers(texts)
-        if lower:
-            self.data = LOWER[self.data]
+        if fold is not None:
+            self.data = fold[self.data]
         self.n = len(self.at) - 1
         n = len(self.data)
         inside = ~SPACE[self.data]

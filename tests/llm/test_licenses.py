@@ -1,0 +1,39 @@
+import re
+
+from quillon.llm import licenses as L
+
+DATA = "/root/testdata/sf0.01"
+LINES = {"Licensed under CC BY-NC 4.0.": "CC-BY-NC", "This work is licensed under the GNU General Public License, version 3.": "GPL", "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "Released under the MIT License.": "MIT"}
+
+
+def test_finds_the_lines_of_the_corpus_and_nothing_else(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in L.scan(docs).collect():
+        want = {f for line, f in LINES.items() if re.search(rf"(?m)^{re.escape(line)}$", texts[r["doc_id"]])}
+        if "All rights reserved" in texts[r["doc_id"]]:
+            want.add("proprietary")
+        assert {x["family"] for x in r["found"] if x["confirmed"]} == want, r
+
+
+def test_spans_families_and_edges(spark):
+    mit = L.TEMPLATES["MIT"][-1]
+    wrapped = re.sub(r"(.{50}\S*) ", r"\1\n", mit)
+    rows = [
+        (1, "plain words here\nReleased under the MIT License.\nmore"),
+        (2, wrapped),
+        (3, "Copyright (c) 2020 Somebody\nSPDX-License-Identifier: LGPL-2.1-only"),
+        (4, None),
+        (5, ""),
+        (6, "\n \n"),
+        (7, "The general public likes a license to drive; permission is needed to copy."),
+        (7, "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+        (None, "Licensed under the BSD 3-Clause License."),
+        (8, "Licensed under the Gnarly Burrow License, version 9."),
+    ]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, found string")
+    out = sorted(((r["doc_id"] or 0, sorted({x["family"] for x in r["found"] if x["confirmed"]})) for r in L.scan(df).collect()), key=str)
+    assert out == [(0, ["BSD"]), (1, ["MIT"]), (2, ["MIT"]), (3, ["LGPL"]), (4, []), (5, []), (6, []), (7, ["CC-BY-SA"]), (7, []), (8, [])]
+    one = next(r for r in L.scan(df).collect() if r["doc_id"] == 1)["found"][0]
+    assert rows[0][1][one["start"] : one["end"]] == "Released under the MIT License"
+    assert L.scan(df.limit(0)).collect() == []
