@@ -14,6 +14,7 @@ A null text counts as empty and has no ids. Rows stay apart whatever their doc_i
 from __future__ import annotations
 
 import base64
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -66,8 +67,8 @@ def _blocks(pattern: str, n_parts: int):
                 listed = [w.encode() for w in number]
                 part = np.array([zlib.crc32(w) % n_parts for w in listed], np.int32)
                 doc_ids = batch.column("doc_id")
-                # tells the blocks apart and depends on the rows alone
-                block = zlib.crc32(repr((doc_ids[0].as_py(), doc_ids[-1].as_py(), batch.num_rows, len(codes))).encode()) << 31 | zlib.crc32(b"".join(listed)) >> 1
+                # the rows are written at once, by one attempt of a task
+                block = int.from_bytes(os.urandom(8), "little") >> 1
                 out = [{"block": block, "part": -1, "doc_ids": doc_ids.to_pylist(), "sizes": sizes.tolist(), "codes": pack(rank[codes]), "words": None}]
                 order = by[np.argsort(part[by], kind="stable")]
                 for own in np.split(order, np.flatnonzero(np.diff(part[order])) + 1) if len(order) else ():

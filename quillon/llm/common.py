@@ -53,12 +53,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the scratch tables written so far. Call it once their readers' results are stored."""
+def scratch(spark: SparkSession) -> list[str]:
+    """Paths of the scratch tables that are still on disk."""
+    return list(_SCRATCH.get(id(spark.sparkContext), ()))
+
+
+def release(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Delete scratch tables: all so far, or those at paths. Call it once what reads them has been stored."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for path in _SCRATCH.pop(id(spark.sparkContext), []):
+    held = _SCRATCH.get(id(spark.sparkContext), [])
+    for path in [p for p in held if paths is None or p in paths]:
         at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(conf).delete(at, True)
+        held.remove(path)
 
 
 def text_of(df: DataFrame, column: str = "text") -> Column:

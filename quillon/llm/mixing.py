@@ -41,7 +41,7 @@ def shares(sources: DataFrame, weights: dict[str | None, float] | None, slots: i
 
 
 def timetable(shared: DataFrame) -> DataFrame:
-    """source, c, period, j and slot: the slot of a period at which the source's j-th block of the period comes."""
+    """source, c, period, j and slot, at most as many rows as a period has slots: the slot of a period at which the source's j-th block of the period comes."""
     # in the order of names, null first
     one = shared.groupBy().agg(F.array_sort(F.collect_list(F.struct("source", "c"))).alias("all"), F.first("period").alias("period"))
     one = one.select("all", "period", F.transform("all", lambda x: x["c"]).alias("cs"))
@@ -64,46 +64,43 @@ def timetable(shared: DataFrame) -> DataFrame:
     return rows.withColumn("j", F.row_number().over(Window.partitionBy("pick").orderBy("slot")).cast("long") - 1).drop("pick")
 
 
-def placed(docs: DataFrame, weights: dict[str | None, float] | None = None, block: int = BLOCK, slots: int = SLOTS, bucket: int = BUCKET) -> DataFrame:
-    """doc_id, source, slot and position for each row of docs."""
-    sources = written(docs.groupBy("source").agg(F.count("*").alias("n")), "mixing-sources")
+def _place(rows: DataFrame, weights: dict[str | None, float] | None, block: int, slots: int, bucket: int) -> DataFrame:
+    """rows (doc_id, source and, where rows are to be carried along, `row`) with slot and position."""
+    sources = written(rows.groupBy("source").agg(F.count("*").alias("n")), "mixing-sources")
     total = sources.agg(F.sum("n")).first()[0] or 0
     digits = 1
     while 16**digits * bucket < total:
         digits += 1
+    # as a key that is never null, so that the joins need no other partitioning than the windows
+    key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
     # its rows are bounded by the slots of a period
-    times = F.broadcast(timetable(shares(sources, weights, slots)).withColumnRenamed("source", "s"))
+    times = F.broadcast(timetable(shares(sources, weights, slots)).select(key.alias("key"), "c", "period", F.col("j").alias("turn"), "slot"))
     h = F.coalesce(F.md5(F.col("doc_id").cast("string")), F.lit(""))
-    rows = docs.select("doc_id", "source", h.alias("h")).withColumn("bucket", F.substring("h", 1, digits))
-    sizes = rows.groupBy("source", "bucket").agg(F.count("*").alias("n"))
-    earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(F.col("source").alias("s0"), F.col("bucket").alias("b0"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    own = Window.partitionBy("source", "bucket").orderBy("h", "doc_id")
-    ranked = rows.withColumn("rank", F.row_number().over(own).cast("long") - 1)
-    ranked = ranked.join(starts, ranked["source"].eqNullSafe(starts["s0"]) & (ranked["bucket"] == starts["b0"]))
-    at = ranked.select("doc_id", "source", (F.col("before") + F.col("rank")).alias("at"))
-    at = at.withColumns({"block": F.expr(f"at div {block}"), "rest": F.expr(f"at % {block}")})
-    counts = F.broadcast(timetable_sources(times))
-    at = at.join(counts, at["source"].eqNullSafe(counts["cs"])).withColumn("turn", F.expr("block % c"))
-    out = at.join(times.select("s", "j", "slot"), at["source"].eqNullSafe(F.col("s")) & (F.col("turn") == F.col("j")))
+    rows = rows.withColumns({"key": key, "h": h, "bucket": F.substring(h, 1, digits)})
+    sizes = rows.groupBy("key", "bucket").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("key", "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    own = Window.partitionBy("key", "bucket").orderBy("h", "doc_id")
+    ranked = rows.withColumn("rank", F.row_number().over(own).cast("long") - 1).drop("h").join(starts, ["key", "bucket"])
+    at = ranked.withColumn("at", F.col("before") + F.col("rank")).withColumns({"block": F.expr(f"at div {block}"), "rest": F.expr(f"at % {block}")})
+    counts = F.broadcast(times.where("turn = 0").select("key", "c", "period"))
+    at = at.join(counts, "key").withColumn("turn", F.expr("block % c"))
+    out = at.join(times.select("key", "turn", "slot"), ["key", "turn"])
     slot = F.expr("(block div c) * period + slot")
-    return out.select("doc_id", "source", slot.alias("slot"), (slot * block + F.col("rest")).alias("position"))
+    return out.select("doc_id", "source", slot.alias("slot"), (slot * block + F.col("rest")).alias("position"), *(c for c in out.columns if c == "row"))
 
 
-def timetable_sources(times: DataFrame) -> DataFrame:
-    return times.where("j = 0").select(F.col("s").alias("cs"), "c", "period")
+def placed(docs: DataFrame, weights: dict[str | None, float] | None = None, block: int = BLOCK, slots: int = SLOTS, bucket: int = BUCKET) -> DataFrame:
+    """doc_id, source, slot and position for each row of docs."""
+    return _place(docs.select("doc_id", "source"), weights, block, slots, bucket)
 
 
 def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block: int = BLOCK, slots: int = SLOTS, bucket: int = BUCKET) -> DataFrame:
-    """docs with slot and position, in the order of position."""
-    docs = docs.select(*(c for c in docs.columns if c not in ("slot", "position")))
-    # rows that share doc_id and source change places freely: each takes one of their positions
-    own = placed(docs, weights, block, slots, bucket)
-    again = Window.partitionBy("doc_id", "source").orderBy("position")
-    own = own.withColumn("nth", F.row_number().over(again)).withColumnsRenamed({"doc_id": "d", "source": "s"})
-    rows = docs.withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id", "source").orderBy(F.lit(1))))
-    same = rows["doc_id"].eqNullSafe(own["d"]) & rows["source"].eqNullSafe(own["s"]) & (rows["_nth"] == own["nth"])
-    out = rows.join(own, same).drop("d", "s", "nth", "_nth")
+    """docs with slot and position, in the order of position. The rows move twice: to be numbered, and into the order."""
+    names = [c for c in docs.columns if c not in ("slot", "position")]
+    rows = docs.select("doc_id", "source", F.struct(*(docs[c] for c in names if c not in ("doc_id", "source"))).alias("row"))
+    out = _place(rows, weights, block, slots, bucket)
+    out = out.select(*(c if c in ("doc_id", "source") else F.col("row").getField(c).alias(c) for c in names), "slot", "position")
     return out.repartitionByRange("position").sortWithinPartitions("position")
 
 

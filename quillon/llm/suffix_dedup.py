@@ -197,7 +197,7 @@ def _sort_blocks(length: int):
     return rows
 
 
-def _strip(length: int):
+def _strip(length: int, as_text: bool):
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,7 +216,10 @@ def _strip(length: int):
                 gone = np.cumsum(gone[:-1]) > 0
                 spans.append([{"start": int(x), "end": int(y)} for x, y in zip(*runs(gone), strict=True)])
                 kept.append(np.frombuffer(text, np.uint8)[~gone].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(kept, pa.binary()), pa.array(spans, kind)], names=["row", "text", "kept", "spans"])
+            if as_text:
+                kept = [k if not s else k.decode("utf-8", "ignore").encode() for k, s in zip(kept, spans, strict=True)]
+            left = pa.array(kept, pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.binary()).cast(pa.string()), left.cast(pa.string()) if as_text else left, pa.array(spans, kind)], names=["row", "text", "kept", "spans"])
 
     return rows
 
@@ -239,12 +242,15 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
     return found[0].unionByName(found[1]).unionByName(found[2])
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """docs with `kept` (the text's bytes that are left) and `spans` (start and end of each removed run of bytes)."""
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, as_text: bool = False) -> DataFrame:
+    """docs with `kept` (the text's bytes that are left) and `spans` (start and end of each removed run of bytes).
+
+    as_text: kept is a string, without what is left of a character that was cut.
+    """
     names = [c for c in docs.columns if c not in ("kept", "spans")]
     there = windows.keyed(docs, row=F.struct(*(docs[c] for c in names if c != "text")))
     found = windows.with_lists(there, repeats(docs, length, gram), "left")
-    out = found.select("row", "text", "segs").mapInArrow(_strip(length), f"row {windows.struct_type(found, 'row')}, text string, kept binary, spans array<struct<start: int, end: int>>")
+    out = found.select("row", "text", "segs").mapInArrow(_strip(length, as_text), f"row {windows.struct_type(found, 'row')}, text string, kept {'string' if as_text else 'binary'}, spans array<struct<start: int, end: int>>")
     return out.select(*("text" if c == "text" else F.col("row").getField(c).alias(c) for c in names), "kept", "spans")
 
 
