@@ -14,7 +14,6 @@ A null text counts as empty and has no ids. Rows stay apart whatever their doc_i
 from __future__ import annotations
 
 import base64
-import os
 import zlib
 from collections.abc import Iterator
 
@@ -24,13 +23,14 @@ import pyarrow.compute as pc
 import regex
 import tiktoken
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import parts, written
+from .common import parts
 
 #: Bytes of text in a block, about.
-BLOCK = 12 << 20
+BLOCK = 18 << 20
 PACKED = "block long, part int, doc_ids array<long>, sizes array<int>, codes binary, words binary"
 
 
@@ -53,9 +53,10 @@ def unpack(data: bytes) -> np.ndarray:
 
 def _blocks(pattern: str, n_parts: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = regex.compile(pattern).findall
+        split, n_blocks = regex.compile(pattern).findall, 0
         for whole in batches:
             for batch in parts(whole, most=BLOCK):
+                n_blocks += 1
                 number: dict[str, int] = {}
                 texts = pc.fill_null(batch.column("text"), "")
                 runs = [np.array([number.setdefault(w, len(number)) for w in split(x.as_py())], np.int32) for x in texts]
@@ -67,8 +68,8 @@ def _blocks(pattern: str, n_parts: int):
                 listed = [w.encode() for w in number]
                 part = np.array([zlib.crc32(w) % n_parts for w in listed], np.int32)
                 doc_ids = batch.column("doc_id")
-                # the rows are written at once, by one attempt of a task
-                block = int.from_bytes(os.urandom(8), "little") >> 1
+                # the same again where a lost task is run anew
+                block = TaskContext.get().partitionId() << 32 | n_blocks
                 out = [{"block": block, "part": -1, "doc_ids": doc_ids.to_pylist(), "sizes": sizes.tolist(), "codes": pack(rank[codes]), "words": None}]
                 order = by[np.argsort(part[by], kind="stable")]
                 for own in np.split(order, np.flatnonzero(np.diff(part[order])) + 1) if len(order) else ():
@@ -97,7 +98,9 @@ def _encode_words(sent):
         encode = _encoder(sent.value)
         known: dict[bytes, list[int]] = {}
         for batch in batches:
-            for row in batch.to_pylist():
+            placed = pc.less(batch.column("part"), 0)
+            yield batch.filter(placed)
+            for row in batch.filter(pc.invert(placed)).to_pylist():
                 words, at, ids, counts = zstandard.ZstdDecompressor().decompress(row["words"]), 0, [], []
                 for n in row["sizes"]:
                     word = words[at : at + n]
@@ -156,12 +159,13 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     spark = docs.sparkSession
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    blocks = written(rows.mapInArrow(_blocks(pattern, n_parts), PACKED), "bpe-blocks")
+    blocks = rows.mapInArrow(_blocks(pattern, n_parts), PACKED)
     sent = spark.sparkContext.broadcast(ranks)  # of fixed size
-    words = blocks.where("part >= 0").select("block", "part", "sizes", "codes", "words").repartition("part").mapInArrow(_encode_words(sent), PACKED)
-    places = blocks.where("part < 0").select("block", "part", "doc_ids", "sizes", "codes", F.lit(None).cast("binary").alias("words"))
-    # a block's words come before its positions
-    together = words.unionByName(places).repartition("block").sortWithinPartitions("block", F.desc("part"))
+    # words go to their part, and positions where the block's ids will meet them; both are made once
+    dealt = blocks.repartition(F.when(F.col("part") >= 0, F.hash("part")).otherwise(F.hash("block")))
+    words = dealt.mapInArrow(_encode_words(sent), PACKED)
+    # a block's ids come before its positions
+    together = words.repartition("block").sortWithinPartitions("block", F.desc("part"))
     return together.mapInArrow(_assemble, "doc_id long, n_tokens long, ids binary")
 
 
