@@ -1,4 +1,4 @@
-"""The collection engine's queries for __spark_entry__.py."""
+"""The collection engine's queries for __spark_entry__.py, and the SQL each is checked against."""
 
 from __future__ import annotations
 
@@ -7,12 +7,273 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .operators import keys
+from .operators.aggregates import any_row, avg_of, count, exact_sum, max_of, min_of, sum_of
+from .operators.ordering import ascending
+from .plans.selection import Selection, Table
 
-def finished_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    price = F.col("o_totalprice")
-    return orders.where((F.col("o_orderstatus") == "F") & (price >= 1000)).agg(F.count("*").alias("n"), F.min(price).alias("lo"), F.max(price).alias("hi"))
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"finished_orders": finished_orders}
-ORACLE_SQL: dict[str, str] = {"finished_orders": "select count(*) as n, min(o_totalprice) as lo, max(o_totalprice) as hi from orders where o_orderstatus='F' and o_totalprice>=1000"}
+def query(sql: str):
+    def add(f):
+        QUERIES[f.__name__] = f
+        ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def load(spark: SparkSession, sf_dir: str, name: str, row: str | None = None, **more) -> Table:
+    return Table.of(spark.read.parquet(f"{sf_dir}/{name}.parquet"), row, **more)
+
+
+def orders(spark: SparkSession, sf_dir: str, strict: bool = False) -> Selection:
+    t = load(spark, sf_dir, "orders", "o_orderkey", strict=strict)
+    t = t.index("finished", "o_orderstatus", lambda c: c == "F").index("open", "o_orderstatus", "o_orderstatus = 'O'")
+    t = t.index("urgent", "o_orderpriority", lambda c: c == "1-URGENT").index("high", "o_orderpriority", lambda c: c == "2-HIGH").index("low", "o_orderpriority", lambda c: c == "5-LOW")
+    t = t.index("rich", "o_totalprice", lambda c: c >= 100000).index("top", "o_totalprice", lambda c: c >= 400000)
+    return t.select()
+
+
+def customers(spark: SparkSession, sf_dir: str) -> Selection:
+    return load(spark, sf_dir, "customer", "c_custkey").index("building", "c_mktsegment", lambda c: c == "BUILDING").sort("names", "c_name").select()
+
+
+def parts(spark: SparkSession, sf_dir: str) -> Selection:
+    return load(spark, sf_dir, "part", "p_partkey").sort("brands", "p_brand").select()
+
+
+@query("select count(*) as n, cast(sum(cast(o_totalprice as decimal(18,2))) as double) as s, min(o_totalprice) as lo, max(o_totalprice) as hi from orders where o_orderstatus='F' and o_totalprice>=1000")
+def finished_orders(spark, d):
+    return orders(spark, d).with_("finished").with_float("o_totalprice", lambda c: c >= 1000).agg(n=count, s=exact_sum("o_totalprice"), lo=min_of("o_totalprice"), hi=max_of("o_totalprice"))
+
+
+@query("select o_orderkey, o_totalprice from orders")
+def scan_range(spark, d):
+    return orders(spark, d).range("o_orderkey", "o_totalprice")
+
+
+@query("select c_custkey, c_name, c_acctbal from customer")
+def project_columns(spark, d):
+    return customers(spark, d).select("c_custkey", "c_name", "c_acctbal")
+
+
+@query("select count(*) as n from orders")
+def count_all(spark, d):
+    return orders(spark, d).agg(n=count)
+
+
+@query("select count(*) as n from orders where o_orderstatus='F'")
+def with_index(spark, d):
+    return orders(spark, d).with_("finished").agg(n=count)
+
+
+@query("select o_orderkey from orders where o_orderstatus='F' and o_orderpriority='1-URGENT' and o_totalprice>=100000")
+def with_indexes(spark, d):
+    return orders(spark, d).with_("finished", "urgent", "rich").range("o_orderkey")
+
+
+@query("select count(*) as n from customer where c_name is not null")
+def with_presence(spark, d):
+    return customers(spark, d).with_("c_name").agg(n=count)
+
+
+@query("select o_orderkey from orders where false")
+def with_unknown(spark, d):
+    return orders(spark, d).with_("no such index").select("o_orderkey")
+
+
+@query("select count(*) as n from orders where not coalesce(o_orderstatus='F', false)")
+def without_index(spark, d):
+    return orders(spark, d).without("finished", "no such index").agg(n=count)
+
+
+@query("select count(*) as n from orders where o_orderstatus='F' or o_orderstatus='O'")
+def union_fresh(spark, d):
+    return orders(spark, d).union("finished", "open").agg(n=count)
+
+
+@query("select o_orderkey from orders where (o_orderstatus='F' and o_totalprice>=400000) or o_orderpriority='5-LOW'")
+def union_after_with(spark, d):
+    return orders(spark, d).with_("finished", "top").union("low").select("o_orderkey")
+
+
+@query("select o_orderkey from orders where o_orderstatus='F' and (o_orderpriority='1-URGENT' or o_totalprice>=400000)")
+def with_union(spark, d):
+    return orders(spark, d).with_("finished").with_union("urgent", "top").select("o_orderkey")
+
+
+@query("select o_orderkey from orders where not coalesce(o_orderstatus='F', false) and (o_orderpriority='1-URGENT' or o_orderpriority='2-HIGH')")
+def without_with_union(spark, d):
+    return orders(spark, d).without("finished").with_union("urgent", "high").select("o_orderkey")
+
+
+@query("select count(*) as n from orders where o_orderpriority='1-URGENT' or o_orderpriority='2-HIGH'")
+def with_union_fresh(spark, d):
+    return orders(spark, d).with_union("urgent", "high").agg(n=count)
+
+
+@query("select event_id from events where event_type is not null and event_type='purchase'")
+def with_value(spark, d):
+    return load(spark, d, "events", "event_id").select().with_value("event_type", lambda c: c == "purchase").select("event_id")
+
+
+@query("select p_partkey from part where cast(p_size as double)>=30.0")
+def with_float(spark, d):
+    return parts(spark, d).with_float("p_size", lambda c: c >= 30.0).select("p_partkey")
+
+
+@query("select c_custkey from customer where cast(trunc(c_acctbal) as bigint)>2500")
+def with_int_truncates(spark, d):
+    return customers(spark, d).with_int("c_acctbal", lambda c: c > 2500).select("c_custkey")
+
+
+@query("select p_partkey from part where p_size>=0 and p_size>25")
+def with_uint(spark, d):
+    return parts(spark, d).with_uint("p_size", lambda c: c > 25).select("p_partkey")
+
+
+@query("select p_partkey, p_brand from part where p_brand like 'Brand#1%'")
+def with_string(spark, d):
+    return parts(spark, d).with_string("p_brand", lambda c: c.startswith("Brand#1")).select("p_partkey", "p_brand")
+
+
+@query("select o_orderkey, coalesce(o_totalprice>=100000, false) as rich from orders")
+def bool_accessor(spark, d):
+    return orders(spark, d).select("o_orderkey", "rich")
+
+
+@query("select l_orderkey, l_linenumber from lineitem where l_returnflag='R' and l_linestatus='F' and l_quantity>=30")
+def filter_chain(spark, d):
+    t = load(spark, d, "lineitem").index("returned", "l_returnflag", lambda c: c == "R")
+    return t.select().with_("returned").with_string("l_linestatus", lambda c: c == "F").with_float("l_quantity", lambda c: c >= 30).select("l_orderkey", "l_linenumber")
+
+
+@query("select cast(sum(cast(o_totalprice as decimal(18,2))) as double) as s from orders where o_orderstatus='F'")
+def sum(spark, d):  # noqa: A001
+    return orders(spark, d).with_("finished").agg(s=exact_sum("o_totalprice"))
+
+
+@query("select cast(sum(p_size) as bigint) as s from part")
+def sum_int(spark, d):
+    return parts(spark, d).agg(s=sum_of("p_size"))
+
+
+@query("select round(cast(sum(cast(l_quantity as decimal(18,2))) as double)/count(*), 6) as a from lineitem where l_returnflag='R'")
+def avg(spark, d):
+    returned = load(spark, d, "lineitem").select().with_string("l_returnflag", lambda c: c == "R")
+    return returned.agg(a=avg_of("l_quantity")).select(F.round("a", 6).alias("a"))
+
+
+@query("select min(o_totalprice) as v, count(*)>0 as ok from orders where o_orderstatus='F'")
+def min(spark, d):  # noqa: A001
+    return orders(spark, d).with_("finished").agg(v=min_of("o_totalprice"), ok=any_row)
+
+
+@query("select max(o_totalprice) as v, count(*)>0 as ok from orders where o_orderstatus='F'")
+def max(spark, d):  # noqa: A001
+    return orders(spark, d).with_("finished").agg(v=max_of("o_totalprice"), ok=any_row)
+
+
+@query("select coalesce(min(o_totalprice), 0.0e0) as v, count(*)>0 as ok from orders where o_orderstatus='zz'")
+def min_empty(spark, d):
+    none = orders(spark, d).with_string("o_orderstatus", lambda c: c == "zz").agg(v=min_of("o_totalprice"), ok=any_row)
+    return none.select(F.coalesce("v", F.lit(0.0)).alias("v"), "ok")
+
+
+@query("select cast(sum(cast(c_acctbal as decimal(18,2))) as double) as s from customer where c_acctbal < (select avg(c_acctbal) from customer)")
+def below_average_sum(spark, d):
+    every = customers(spark, d)
+    return every.with_float("c_acctbal", lambda c: c < every.scalar(avg_of("c_acctbal"))).agg(s=exact_sum("c_acctbal"))
+
+
+@query("select c_custkey, c_name from customer where c_mktsegment='BUILDING' order by c_name, c_custkey")
+def ascend(spark, d):
+    return customers(spark, d).with_("building").ascend("names", "c_custkey", "c_name")
+
+
+@query("select p_brand, max(p_partkey) as p_partkey from part group by p_brand")
+def ascend_distinct_keys(spark, d):
+    return ascending(parts(spark, d).rows(), "p_brand", distinct_keys=True).select("p_brand", "p_partkey")
+
+
+@query("select c_custkey, c_acctbal from customer where c_mktsegment='BUILDING' order by c_acctbal, c_custkey limit 25")
+def ascend_top(spark, d):
+    t = load(spark, d, "customer", "c_custkey").sort("poorest", "c_acctbal")
+    return t.select().with_string("c_mktsegment", lambda c: c == "BUILDING").ascend("poorest", "c_custkey", "c_acctbal", top=25)
+
+
+@query("select o_orderkey, case when o_orderstatus='F' then 10.0e0 else o_totalprice end as o_totalprice from orders")
+def update_set(spark, d):
+    return orders(spark, d).with_("finished").updated(o_totalprice=10.0).select("o_orderkey", "o_totalprice")
+
+
+@query("select c_custkey, case when c_mktsegment='BUILDING' then c_acctbal+500.0e0 else c_acctbal end as c_acctbal from customer")
+def merge_add(spark, d):
+    return customers(spark, d).with_("building").merged(c_acctbal=500.0).select("c_custkey", "c_acctbal")
+
+
+@query("select o_orderkey from orders where not coalesce(o_orderstatus='F', false)")
+def delete_all(spark, d):
+    return orders(spark, d).with_("finished").deleted().select("o_orderkey")
+
+
+@query("select n_name from nation where n_nationkey=7")
+def query_at(spark, d):
+    return load(spark, d, "nation", "n_nationkey").select().at(7).select("n_name")
+
+
+@query("select c_name, c_acctbal from customer where c_custkey=20")
+def query_key(spark, d):
+    t = load(spark, d, "customer", "c_custkey", key="c_custkey")
+    return t.select().by_key(20).select("c_name", "c_acctbal")
+
+
+@query("select n_nationkey, case when n_nationkey=3 then 'UPDATED' else n_name end as n_name from nation union all select 99, 'NEW'")
+def upsert_key(spark, d):
+    nation = spark.read.parquet(f"{d}/nation.parquet").select("n_nationkey", "n_name")
+    return keys.upserted(nation, spark.createDataFrame([(3, "UPDATED"), (99, "NEW")], nation.schema), "n_nationkey")
+
+
+@query("select n_nationkey, n_name from nation where n_nationkey<>3")
+def delete_key(spark, d):
+    nation = spark.read.parquet(f"{d}/nation.parquet").select("n_nationkey", "n_name")
+    return keys.deleted(nation, spark.createDataFrame([(3,)], "n_nationkey int"), "n_nationkey")
+
+
+@query("select event_id from events where not (ts + interval '1' day < timestamp '2024-01-05 00:00:00')")
+def expire_sweep(spark, d):
+    from .functions.values import alive
+
+    rows = spark.read.parquet(f"{d}/events.parquet")
+    # microseconds keep their whole number; the clock is 2024-01-05 UTC
+    at = F.unix_micros(F.col("ts").cast("timestamp_ltz")) * 1000 + F.lit(86_400_000_000_000)
+    return rows.select("event_id", at.alias("expire")).where(alive(F.col("expire"), 1_704_412_800_000_000_000)).select("event_id")
+
+
+@query("select user_id, max(event_id) as last_event from events group by user_id")
+def replay_last_write(spark, d):
+    from .streaming.changes import running_last
+
+    return running_last(spark.read.parquet(f"{d}/events.parquet"), "user_id", "event_id").withColumnRenamed("event_id", "last_event")
+
+
+@query("select user_id, cast(sum(cast(value as decimal(18,2))) as double) as total from events group by user_id")
+def replay_merge_sum(spark, d):
+    from .streaming.changes import running_sum
+
+    return running_sum(spark.read.parquet(f"{d}/events.parquet"), "user_id", "value").withColumnRenamed("value", "total")
+
+
+@query("select o_orderkey, cast(o_orderkey // 16384 as integer) as chunk from orders where o_orderstatus='F'")
+def row_chunk(spark, d):
+    return orders(spark, d).with_("finished").select("o_orderkey", F.shiftright("row_id", 14).cast("int").alias("chunk"))
+
+
+@query("select cast(case when (cast(sum(p_partkey * 1000) as hugeint) + 32768) % 65536 < 0 then 0 else (cast(sum(p_partkey * 1000) as hugeint) + 32768) % 65536 - 32768 end as smallint) as s from part")
+def sum_strict_wraps(spark, d):
+    from .functions.values import wrapped
+
+    return parts(spark, d).agg(s=wrapped(F.sum(F.col("p_partkey").cast("decimal(38,0)") * 1000), 16).cast("smallint"))
