@@ -16,7 +16,19 @@ from pyspark.sql import functions as F
 _SCRATCH: dict[int, list[str]] = {}
 
 
+#: Rows of an Arrow batch: whole texts of any length are in it, in Python and in the JVM at once.
+BATCH = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Set the session to batches of BATCH rows, unless it was set to fewer."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH:
+        spark.conf.set(name, BATCH)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -48,6 +60,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     This cuts the lineage: a lost executor costs no more than the reading of its part.
     """
     spark = df.sparkSession
+    small_batches(spark)
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -73,7 +86,7 @@ def text_of(df: DataFrame, column: str = "text") -> Column:
     return F.coalesce(df[column], F.lit(""))
 
 
-def parts(batch: pa.RecordBatch, column: str = "text", most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def parts(batch: pa.RecordBatch, column: str = "text", most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of batch whose texts come to about `most` bytes: at least one row, and never part of a text."""
     if not batch.num_rows:
         return
@@ -86,6 +99,19 @@ def parts(batch: pa.RecordBatch, column: str = "text", most: int = 2 << 20) -> I
         at = to
 
 
+def gathered(batches: Iterator[pa.RecordBatch], column: str = "text", least: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches together, until their texts come to `least` bytes."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.column(column).nbytes
+        if size >= least:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def zipped(texts: pa.Array) -> pa.Array:
     """Each text compressed by itself: half of what a shuffle's own compression leaves."""
     by = zstandard.ZstdCompressor(level=1, write_content_size=True).compress

@@ -20,7 +20,7 @@ _POWERS: dict[str, np.ndarray] = {}
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS.get("up", ())) < n:
-        size = max(1 << 16, 1 << int(n - 1).bit_length())
+        size = -(-n // (1 << 18)) << 18
         for name, base in (("up", BASE), ("down", _INVERSE)):
             p = np.full(size, base, np.uint64)
             p[0] = 1
