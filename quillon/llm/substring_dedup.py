@@ -5,7 +5,8 @@ A word is removed if a window that covers it has words that also start in a docu
 1. Each text is cut into segments of windows with one anchor (windows.py); equal windows meet under equal anchors.
 2. Of each group of segments with one anchor, one copy of each different segment is fetched and dealt by the
    anchor. A shard confirms the phrases that recur in different segments, compiles them into an Aho-Corasick
-   automaton, each with the smallest doc_id that has it, and streams the segments through it.
+   automaton, each with the smallest doc_id that has it, and streams the segments through it. (A group of over
+   CROWD different segments would not fit one task; its windows meet by 128 bits of hash instead.)
 3. What was located applies to every document with an equal segment.
 
 A null or empty text has no words. A null doc_id is never the smaller one and keeps all its words. Rows that
@@ -30,6 +31,8 @@ from .textvec import Texts
 LENGTH, GRAM = 50, 6
 #: Windows in one automaton at most, as long as it serves more than one group of segments.
 SHARD = 20_000
+#: Different segments of a group that one task takes at most. The windows of larger groups meet by hash.
+CROWD = 20_000
 _GAP = range(0xD800, 0xE000)
 
 
@@ -144,7 +147,7 @@ def _strip(length: int):
     return rows
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
     """doc_id, th and seg (struct a, n): the n windows from word a on also start in a document with a smaller doc_id."""
     base = windows.keyed(docs)
     segs = base.mapInArrow(windows.segment_rows(_words, length, gram), windows.SEGMENTS)
@@ -152,19 +155,26 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
     groups = written(groups.where("least < most").select("mh", "least", "mixed"), "phrase-groups")
     shared = written(segs.join(groups.hint("shuffle_hash"), "mh"), "phrase-shared")
     mixed = shared.where("mixed").drop("least")
-    kinds = mixed.groupBy("mh", "sh").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "th", "a", "n")).alias("first"))
-    wanted = kinds.select("first.doc_id", "first.th", F.struct("mh", "sh", "least", "first.a", "first.n").alias("seg"))
-    pieces = windows.with_lists(base, wanted, "inner").select("text", "segs").mapInArrow(_cut(length), "mh long, sh long, least long, n int, bits binary")
+    kinds = written(mixed.groupBy("mh", "sh").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "th", "a", "n")).alias("first")), "phrase-kinds")
+    usual, crowded = windows.crowds(kinds, crowd)
+    wanted = lambda k: k.select("first.doc_id", "first.th", F.struct("mh", "sh", "least", "first.a", "first.n").alias("seg"))
+    pieces = windows.with_lists(base, wanted(usual), "inner").select("text", "segs").mapInArrow(_cut(length), "mh long, sh long, least long, n int, bits binary")
     located = pieces.repartition("mh").sortWithinPartitions("mh").mapInArrow(_shards(length), "mh long, sh long, skip int, run int, least long")
+    if crowded is not None:
+        each = windows.with_lists(base, wanted(crowded), "inner").select("doc_id", "th", "text", "segs")
+        each = each.mapInArrow(windows.each_window(_words, length), "h1 long, h2 long, doc_id long, th long, a int, skip int, mh long, sh long, least long").drop("doc_id", "th", "a")
+        first = each.groupBy("h1", "h2").agg(F.min("least").alias("l"))
+        more = each.drop("least").join(first, ["h1", "h2"]).where("l is not null")
+        located = located.unionByName(more.select("mh", "sh", "skip", F.lit(1).alias("run"), F.col("l").alias("least")))
     at_once = shared.where("not mixed and least < doc_id").select("doc_id", "th", F.struct("a", "n").alias("seg"))
     found = mixed.join(located, ["mh", "sh"]).where("least < doc_id")
     return at_once.unionByName(found.select("doc_id", "th", F.struct((F.col("a") + F.col("skip")).alias("a"), F.col("run").alias("n")).alias("seg")))
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
     """docs with `kept` (the words left, joined by one space), `n_words` (before) and `spans` (first word and end of each removed run)."""
     names = [c for c in docs.columns if c not in ("kept", "n_words", "spans")]
     there = windows.keyed(docs, row=F.struct(*(docs[c] for c in names if c != "text")))
-    found = windows.with_lists(there, repeats(docs, length, gram), "left")
+    found = windows.with_lists(there, repeats(docs, length, gram, crowd), "left")
     out = found.select("row", "text", "segs").mapInArrow(_strip(length), f"row {windows.struct_type(found, 'row')}, text string, kept string, n_words long, spans array<struct<start: int, end: int>>")
     return out.select(*("text" if c == "text" else F.col("row").getField(c).alias(c) for c in names), "kept", "n_words", "spans")

@@ -2,7 +2,8 @@
 
 1. Each text is cut into segments (windows.py): about one small row for 190 bytes, no row for each suffix.
 2. A segment equal to another repeats as a whole. Segments that share their anchor with a different segment
-   are fetched, one copy of each, and dealt by the anchor, so that equal strings meet in one block.
+   are fetched, one copy of each, and dealt by the anchor, so that equal strings meet in one block. (A group of
+   over CROWD different segments would not fit one task; its strings are counted by 128 bits of hash instead.)
 3. A block's suffixes are sorted in two stages: those smaller than their successors directly, the rest by one
    scan over the buckets. Adjacent suffixes with a common prefix of `length` bytes repeat.
 
@@ -13,6 +14,7 @@ doc_id. An input column named `kept` or `spans` gives way to the result's.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +30,8 @@ LENGTH, GRAM = 400, 16
 BLOCK = 60_000
 #: Above so many suffixes they are sorted by eight bytes at a time, with less memory than a list of their strings.
 LISTED = 80_000
+#: Different segments of a group that one task sorts at most. The windows of larger groups are counted by hash.
+CROWD = 20_000
 
 
 def _words(text: np.ndarray) -> np.ndarray:
@@ -224,7 +228,7 @@ def _strip(length: int, as_text: bool):
     return rows
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
     """doc_id, th and seg (struct a, n): the n starts from byte a on begin a string of `length` bytes that is also elsewhere."""
     base = windows.keyed(docs)
     segs = base.mapInArrow(windows.segment_rows(_bytes, length, gram), windows.SEGMENTS)
@@ -233,23 +237,29 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
     shared = written(segs.join(groups.hint("shuffle_hash"), "mh"), "suffix-shared")
     mixed = shared.where("mixed")
     kinds = written(mixed.groupBy("mh", "sh").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "th", "a", "n")).alias("first")), "suffix-kinds")
-    wanted = kinds.select("first.doc_id", "first.th", F.struct("mh", (F.col("copies") == 1).alias("alone"), "first.a", "first.n").alias("seg"))
-    pieces = windows.with_lists(base, wanted, "inner").select("doc_id", "th", "text", "segs").mapInArrow(_cut(length), "doc_id long, th long, mh long, alone boolean, a int, n int, bits binary")
+    usual, crowded = windows.crowds(kinds, crowd)
+    wanted = lambda k: k.select("first.doc_id", "first.th", F.struct("mh", (F.col("copies") == 1).alias("alone"), "first.a", "first.n").alias("seg"))
+    pieces = windows.with_lists(base, wanted(usual), "inner").select("doc_id", "th", "text", "segs").mapInArrow(_cut(length), "doc_id long, th long, mh long, alone boolean, a int, n int, bits binary")
     sorted_ = pieces.repartition("mh").sortWithinPartitions("mh").mapInArrow(_sort_blocks(length), "doc_id long, th long, a int, n int")
     copied = mixed.join(kinds.where("copies > 1").select("mh", "sh"), ["mh", "sh"], "left_semi")
     found = [shared.where("not mixed"), copied, sorted_]
+    if crowded is not None:
+        each = windows.with_lists(base, wanted(crowded), "inner").select("doc_id", "th", "text", "segs")
+        each = each.mapInArrow(windows.each_window(_bytes, length), "h1 long, h2 long, doc_id long, th long, a int, skip int, mh long, alone boolean")
+        twice = each.groupBy("h1", "h2").count().where("count > 1").select("h1", "h2")
+        found.append(each.where("alone").join(twice, ["h1", "h2"], "left_semi").select("doc_id", "th", (F.col("a") + F.col("skip")).alias("a"), F.lit(1).alias("n")))
     found = [x.select("doc_id", "th", F.struct("a", "n").alias("seg")) for x in found]
-    return found[0].unionByName(found[1]).unionByName(found[2])
+    return reduce(DataFrame.unionByName, found)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, as_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, as_text: bool = False, crowd: int = CROWD) -> DataFrame:
     """docs with `kept` (the text's bytes that are left) and `spans` (start and end of each removed run of bytes).
 
     as_text: kept is a string, without what is left of a character that was cut.
     """
     names = [c for c in docs.columns if c not in ("kept", "spans")]
     there = windows.keyed(docs, row=F.struct(*(docs[c] for c in names if c != "text")))
-    found = windows.with_lists(there, repeats(docs, length, gram), "left")
+    found = windows.with_lists(there, repeats(docs, length, gram, crowd), "left")
     out = found.select("row", "text", "segs").mapInArrow(_strip(length, as_text), f"row {windows.struct_type(found, 'row')}, text string, kept {'string' if as_text else 'binary'}, spans array<struct<start: int, end: int>>")
     return out.select(*("text" if c == "text" else F.col("row").getField(c).alias(c) for c in names), "kept", "spans")
 

@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts, zipped
-from .textvec import Rolling
+from .common import parts, unzipped, written, zipped
+from .textvec import Rolling, mixed
 
 SEGMENTS = "doc_id long, th long, mh long, sh long, a int, n int"
 
@@ -75,7 +75,7 @@ def segment_rows(sequences: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]],
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in parts(whole, most=1 << 20):
+            for batch in parts(whole):
                 found = segments(*sequences(batch.column("text")), length, gram)
                 seq = pa.array(found["seq"])
                 yield pa.RecordBatch.from_arrays(
@@ -117,3 +117,41 @@ def struct_type(df: DataFrame, column: str) -> str:
 def unpacked(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts together, and where each begins (one more at the end)."""
     return np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in texts])]).astype(np.int64)
+
+
+def each_window(sequences: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], length: int):
+    """For mapInArrow, of texts with_lists(): a row for each window of the listed segments, with 128 bits of hash.
+
+    skip: its number within the segment. Fields of `seg` other than a and n are carried along. Only for segments
+    of groups that are too large for one task: windows, unlike groups, can be counted by partial aggregates.
+    """
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            symbols, at = sequences(pa.array(unzipped(batch.column("text")), pa.large_binary()))
+            lists = batch.column("segs")
+            seg, owner = lists.flatten(), np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+            a, n = seg.field("a").to_numpy().astype(np.int64), seg.field("n").to_numpy().astype(np.int64)
+            first, second = Rolling(symbols), Rolling(mixed(symbols ^ np.uint64(0x5851F42D4C957F2D)))
+            carried = [seg.type.field(i).name for i in range(seg.type.num_fields) if seg.type.field(i).name not in ("a", "n")]
+            ends = np.cumsum(n)
+            for low in range(0, len(n), 500):
+                s = slice(low, min(low + 500, len(n)))
+                which = np.repeat(np.arange(s.start, s.stop), n[s])
+                skip = np.arange(len(which)) - np.repeat(ends[s] - n[s] - (ends[s.start] - n[s.start]), n[s])
+                start = (at[owner] + a)[which] + skip
+                took, docs = pa.array(which), pa.array(owner[which])
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array(r.of(start, start + length).view(np.int64)) for r in (first, second)), batch.column("doc_id").take(docs), batch.column("th").take(docs), pa.array(a[which].astype(np.int32)), pa.array(skip.astype(np.int32)), *(seg.field(c).take(took) for c in carried)],
+                    names=["h1", "h2", "doc_id", "th", "a", "skip", *carried],
+                )
+
+    return rows
+
+
+def crowds(kinds: DataFrame, most: int) -> tuple[DataFrame, DataFrame | None]:
+    """kinds of groups of up to `most` different segments, and those of larger groups (None if there are none)."""
+    large = written(kinds.groupBy("mh").count().where(F.col("count") > most).select("mh"), "crowds")
+    if large.isEmpty():
+        return kinds, None
+    return kinds.join(large, "mh", "left_anti"), kinds.join(large, "mh", "left_semi")

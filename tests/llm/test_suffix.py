@@ -49,12 +49,12 @@ def test_two_stage_sorts_suffixes(seed, listed, monkeypatch):
         assert common[i] == same or max(order[i - 1], order[i]) + same >= len(text)
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_remove_repeats_equals_brute_force(spark, seed):
+@pytest.mark.parametrize(("seed", "crowd"), [(0, 10**6), (1, 10**6), (2, 10**6), (0, 2), (1, 2)])
+def test_remove_repeats_equals_brute_force(spark, seed, crowd):
     texts = corpus(seed)
     rows = [(i, t, "x", i, "mine") for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "doc_id long, text string, th string, a int, segs string").repartition(3)
-    out = {r["doc_id"]: r for r in S.remove_repeats(df, length=60, gram=8).collect()}
+    out = {r["doc_id"]: r for r in S.remove_repeats(df, length=60, gram=8, crowd=crowd).collect()}
     raw = [(t or "").encode() for t in texts]
     assert len(out) == len(rows)
     for i, gone in enumerate(brute(raw, 60)):
