@@ -85,6 +85,16 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_substring_dedup, op3_mixing, op4_bpe, op5_nearest, op6_simhash, op7_license_scan, op8_quality_classifier, op9_suffix_dedup, op10_warc)}
 ORACLE_SQL: dict[str, str] = {
+    "op2_substring_dedup": r"""
+        with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+        p as (select doc_id, i, array_to_string(ws[i : i + 49], ' ') as k from (select doc_id, ws, unnest(range(1, len(ws) - 48)) as i from w)),
+        f as (select k, min(doc_id) as f from p group by k having count(distinct doc_id) > 1),
+        gone as (select distinct doc_id, i + j as i from (select p.doc_id, p.i from p join f using (k) where f < doc_id), (select unnest(range(0, 50)) as j)),
+        words as (select doc_id, unnest(ws) as x, unnest(range(1, len(ws) + 1)) as i from w),
+        left_ as (select doc_id, string_agg(x, ' ' order by i) as t, count(*) as n from words anti join gone using (doc_id, i) group by doc_id)
+        select w.doc_id, cast(len(ws) as bigint) as n_words, cast(len(ws) - coalesce(n, 0) as bigint) as n_removed, sha256(coalesce(t, '')) as kept_sha256
+        from w left join left_ using (doc_id)
+    """,
     "op3_mixing": mixing.ORACLE,
     "op5_nearest": """
         with v as (
