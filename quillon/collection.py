@@ -265,14 +265,14 @@ class Collection:
         self._publish(rows, max(self.manifest.next_row, top + 1), {**self.manifest.applied, source: newest})
         return newest
 
-    def _publish(self, rows: DataFrame, next_row: int, applied: dict | None = None) -> None:
+    def _publish(self, rows: DataFrame, next_row: int, applied: dict | None = None, adds: bool = False) -> None:
         version = self.manifest.version + 1
         if version in self.store.versions():
             raise Conflict(f"version {version} is there already")
         # under a name of its own until it is published, so that a rival's files aren't touched
         path = f"{self.store.root}/changes/commit_id={version}"
         rows.write.mode("errorifexists").parquet(path)
-        entry = {"version": version, "path": path, "bytes": self.store.size(path)}
+        entry = {"version": version, "path": path, "bytes": self.store.size(path), "adds": adds}
         changed = replace(self.manifest, version=version, changes=[*self.manifest.changes, entry], next_row=next_row, applied=self.manifest.applied if applied is None else applied)
         self.store.publish(changed)
         self.manifest = changed
@@ -520,9 +520,12 @@ class Txn:
         if added is not None:
             if c.key is not None:
                 self._check_keys(added)
-            rows = added if rows is None else rows.unionByName(added)
+            adds = rows is None
+            rows = added if adds else rows.unionByName(added)
+        else:
+            adds = False
         if rows is not None:
-            c._publish(rows, next_row)
+            c._publish(rows, next_row, adds=adds)
         for path in self.collection.store.fs.listStatus(self.collection.store._path(c.store.root)):
             if path.getPath().getName().startswith("_staged-"):
                 c.store.fs.delete(path.getPath(), True)

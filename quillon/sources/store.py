@@ -30,7 +30,7 @@ class Manifest:
     version: int = 0
     base: str | None = None
     base_commit: int = 0
-    changes: list[dict] = field(default_factory=list)  # version, path, bytes
+    changes: list[dict] = field(default_factory=list)  # version, path, bytes, and whether it only adds rows
     kinds: dict[str, dict] = field(default_factory=dict)
     indexes: dict[str, list[str]] = field(default_factory=dict)
     sorts: dict[str, str] = field(default_factory=dict)
@@ -100,21 +100,27 @@ def change_schema(kinds: dict[str, T.DataType]) -> T.StructType:
     return T.StructType([*head, T.StructField("row", T.StructType([T.StructField(c, t) for c, t in kinds.items()]))])
 
 
-def folded(changes: DataFrame, columns: list[str]) -> DataFrame:
+def folded(changes: DataFrame, columns: list[str], once: bool = False) -> DataFrame:
     """For each row the last value written to each column, which were written, and whether it was inserted or deleted.
 
-    One partial aggregate and one shuffle by row, whatever the number of commits.
+    One partial aggregate and one shuffle by row, whatever the number of commits; none for the changes of one
+    commit (once), which has a row once.
     """
     at = F.col(CHANGE)
+    if once:
+        wrote = lambda c: F.when(F.array_contains("written", c), F.struct(F.col("row").getField(c).alias("v")))
+        return changes.select(ROW, (F.col("op") == "delete").alias("gone"), (F.col("op") == "insert").alias("new"), F.struct(*(wrote(c).alias(c) for c in columns)).alias("last"))
     lasts = []
     for c in columns:
-        wrote = F.array_contains("written", c)
-        lasts += [F.max_by(F.when(wrote, F.struct(F.col("row").getField(c).alias("v"))), F.when(wrote, at)).alias(f"last_{c}")]
+        when = F.when(F.array_contains("written", c), at)
+        # apart, so that numbers are aggregated in place
+        lasts += [F.max_by(F.col("row").getField(c), when).alias(f"last_{c}"), F.max(when).alias(f"when_{c}")]
     # a row that is inserted again after it was deleted is there: replicas see that
     ends = [F.max(F.when(F.col("op") == op, at)).alias(op) for op in ("delete", "insert")]
     out = changes.groupBy(ROW).agg(*ends, *lasts)
     gone = F.col("delete").isNotNull() & (F.col("insert").isNull() | (F.col("insert") < F.col("delete")))
-    return out.select(ROW, gone.alias("gone"), F.col("insert").isNotNull().alias("new"), F.struct(*(F.col(f"last_{c}").alias(c) for c in columns)).alias("last") if columns else F.lit(None).alias("last"))
+    last = F.struct(*(F.when(F.col(f"when_{c}").isNotNull(), F.struct(F.col(f"last_{c}").alias("v"))).alias(c) for c in columns))
+    return out.select(ROW, gone.alias("gone"), F.col("insert").isNotNull().alias("new"), last.alias("last"))
 
 
 def read(store: Store, manifest: Manifest, kinds: dict[str, T.DataType]) -> DataFrame:
@@ -125,8 +131,14 @@ def read(store: Store, manifest: Manifest, kinds: dict[str, T.DataType]) -> Data
     since = [c for c in manifest.changes if c["version"] > manifest.base_commit]
     if not since:
         return base
-    changes = spark.read.schema(change_schema(kinds)).option("basePath", f"{store.root}/changes").parquet(*(c["path"] for c in since))
-    fold = folded(changes, columns).withColumnRenamed(ROW, "_row")
+    files = lambda some: spark.read.schema(change_schema(kinds)).option("basePath", f"{store.root}/changes").parquet(*(c["path"] for c in some))
+    # rows that were only added have ids of their own: no join
+    adding, since = [c for c in since if c.get("adds")], [c for c in since if not c.get("adds")]
+    if adding:
+        base = base.unionByName(files(adding).select(ROW, *(F.col("row").getField(c).alias(c) for c in columns)))
+    if not since:
+        return base
+    fold = folded(files(since), columns, len(since) == 1).withColumnRenamed(ROW, "_row")
     put = lambda c: F.when(F.col("last").getField(c).isNotNull(), F.col("last").getField(c).getField("v")).otherwise(F.col(c)).alias(c)
     if sum(c["bytes"] for c in since) <= SMALL:
         old = base.join(F.broadcast(fold), F.col(ROW) == F.col("_row"), "left").where("not coalesce(gone or new, false)").select(ROW, *map(put, columns))
