@@ -18,8 +18,8 @@ def test_pipeline_equals_plain_version(spark):
     docs = {r["doc_id"]: r for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
     judged = quality_rules.judge(spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{DATA}/labels.parquet"))
     kept = sorted(r["doc_id"] for r in judged.collect() if r["kept"])
-    prints = {d: simhash.fingerprint(docs[d]["text"].encode()) for d in kept}
-    top = closed(sorted(set(prints.values())), 2)
+    prints = {d: int.from_bytes(simhash.wide_fingerprint(docs[d]["text"].encode()), "little") for d in kept}
+    top = closed(sorted(set(prints.values())), simhash.most_bits(0.8, 1024))
     kept = [d for d in kept if d == min(e for e in kept if top[prints[e]] == top[prints[d]])]
     texts = [docs[d]["text"].encode() for d in kept]
     gone = brute(texts, suffix_dedup.LENGTH)

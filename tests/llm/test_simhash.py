@@ -55,7 +55,7 @@ def test_components_equal_brute_force(spark, crowd):
             least[top[p]] = min(d, least.get(top[p], d))
     want = sorted(((d, f"{p:016x}", least.get(top[p])) for (d, _), p in zip(rows, prints, strict=True)), key=str)
     assert sorted(((r["doc_id"], r["fingerprint"], r["component_id"]) for r in out), key=str) == want
-    kept = [r["doc_id"] for r in S.keep_one(df).collect()]
+    kept = [r["doc_id"] for r in S.keep_one(df, S.near_duplicates(df)).collect()]
     assert sorted(kept, key=str) == sorted([*set(least.values()), None, None], key=str)
 
 
@@ -77,3 +77,51 @@ def test_components_of_a_chain(spark):
 
 def test_empty_table(spark):
     assert S.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def jaccard(a, b):
+    cut = lambda t: {tuple(t.lower().split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))}
+    x, y = cut(a), cut(b)
+    return len(x & y) / len(x | y)
+
+
+def test_similar_groups(spark):
+    rng = random.Random(8)
+    rows, n = [], 0
+    for g in range(40):
+        words = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(rng.randint(60, 600))]
+        for k in range(6):
+            own = list(words)
+            for _ in range(k * len(words) // 400):
+                own[rng.randrange(len(own))] = "zz"
+            rows.append((n, g, " ".join(own) if k % 2 else "\n".join(own).upper()))
+            n += 1
+    rows += [(n + i, -1 - i, f"only one like this {i} " + "q w e r t".replace("q", str(i))) for i in range(50)] + [(n + 50, -99, None), (n + 51, -99, "")]
+    df = spark.createDataFrame(rows, "doc_id long, g long, text string")
+    group = {r["doc_id"]: r["component_id"] for r in S.similar_groups(df).collect()}
+    first = {}
+    for d, g, _ in rows:
+        first.setdefault(g, d)
+    assert all(first[dict((r[0], r[1]) for r in rows)[d]] <= c for d, c in group.items())
+    missed = [jaccard(t, rows[first[g]][2]) for d, g, t in rows if g >= 0 and group[d] != first[g]]
+    assert all(j < 0.85 for j in missed), missed
+    assert group[n + 51] == n + 50 and len({group[n + i] for i in range(50)}) == 50
+
+
+def test_wide_forest_is_exact():
+    rng = random.Random(6)
+    base = [rng.getrandbits(1024) for _ in range(6)]
+    values = []
+    for i in range(140):
+        v = base[i % 6]
+        for _ in range(rng.randint(0, 20)):
+            v ^= 1 << rng.randrange(1024)
+        values.append(v)
+    prints = [v.to_bytes(128, "little") for v in values]
+    for some in (prints, prints[:40]):
+        top = list(range(len(some)))
+        for i, j in S.wide_forest(some, 24):
+            a, b = top[i], top[j]
+            top = [min(a, b) if t in (a, b) else t for t in top]
+        want = closed(values[: len(some)], 24)
+        assert len(set(top)) == len({want[v] for v in values[: len(some)]})
