@@ -2,7 +2,8 @@
 
 1. A block of whole documents is split into pre-tokens. Its positions become numbers of the block's distinct
    words (frequent words get small numbers), its words go to the part that a checksum of the word names.
-   Both are packed: a block takes a row for its positions and one for its words in each part.
+   Both are packed: a block takes a row for its positions and one for its words in each part. Splitting is
+   done twice, for the words and for the positions, as that costs less than to keep the positions meanwhile.
 2. The rows of a part meet in one task, which encodes each distinct word of the corpus in that part once and
    sends the ids back to the blocks.
 3. A block's ids are put together by position.
@@ -14,6 +15,8 @@ A null text counts as empty and has no ids. Rows stay apart whatever their doc_i
 from __future__ import annotations
 
 import base64
+import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -23,14 +26,13 @@ import pyarrow.compute as pc
 import regex
 import tiktoken
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import parts
+from .common import gathered, parts, small_batches, trim, written
 
 #: Bytes of text in a block, about.
-BLOCK = 18 << 20
+BLOCK = 8 << 20
 PACKED = "block long, part int, doc_ids array<long>, sizes array<int>, codes binary, words binary"
 
 
@@ -51,31 +53,31 @@ def unpack(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").reshape(-1).astype(np.int64)
 
 
-def _blocks(pattern: str, n_parts: int):
+def _blocks(pattern: str, n_parts: int, words: bool):
+    """The rows of each block: with its words, or with its positions."""
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, n_blocks = regex.compile(pattern).findall, 0
-        for whole in batches:
-            for batch in parts(whole, most=BLOCK):
-                n_blocks += 1
+        split = regex.compile(pattern).findall
+        for whole in gathered(batches, least=BLOCK):
+            for batch in parts(whole, most=2 * BLOCK):
                 number: dict[str, int] = {}
                 texts = pc.fill_null(batch.column("text"), "")
                 runs = [np.array([number.setdefault(w, len(number)) for w in split(x.as_py())], np.int32) for x in texts]
-                sizes = np.array([len(x) for x in runs], np.int32)
                 codes = np.concatenate(runs)
                 by = np.argsort(-np.bincount(codes, minlength=len(number)), kind="stable")
                 rank = np.empty(len(by), np.int32)
                 rank[by] = np.arange(len(by))
                 listed = [w.encode() for w in number]
+                # blocks with one number have the same words, in one order
+                block = int.from_bytes(hashlib.blake2b(repr([listed, rank.tobytes()]).encode(), digest_size=8).digest(), "little", signed=True)
+                if not words:
+                    yield pa.RecordBatch.from_pylist([{"block": block, "part": -1, "doc_ids": batch.column("doc_id").to_pylist(), "sizes": [len(x) for x in runs], "codes": pack(rank[codes])}], _PACKED)
+                    continue
                 part = np.array([zlib.crc32(w) % n_parts for w in listed], np.int32)
-                doc_ids = batch.column("doc_id")
-                # the same again where a lost task is run anew
-                block = TaskContext.get().partitionId() << 32 | n_blocks
-                out = [{"block": block, "part": -1, "doc_ids": doc_ids.to_pylist(), "sizes": sizes.tolist(), "codes": pack(rank[codes]), "words": None}]
-                order = by[np.argsort(part[by], kind="stable")]
+                order, out = by[np.argsort(part[by], kind="stable")], []
                 for own in np.split(order, np.flatnonzero(np.diff(part[order])) + 1) if len(order) else ():
-                    words = [listed[i] for i in own.tolist()]
-                    lens = np.array([len(w) for w in words])
-                    out.append({"block": block, "part": int(part[own[0]]), "doc_ids": None, "sizes": lens.tolist(), "codes": pack(np.diff(rank[own], prepend=0)), "words": zstandard.ZstdCompressor(level=1).compress(b"".join(words))})
+                    held = [listed[i] for i in own.tolist()]
+                    out.append({"block": block, "part": int(part[own[0]]), "sizes": [len(w) for w in held], "codes": pack(np.diff(rank[own], prepend=0)), "words": zstandard.ZstdCompressor(level=1).compress(b"".join(held))})
                 yield pa.RecordBatch.from_pylist(out, _PACKED)
 
     return rows
@@ -98,9 +100,7 @@ def _encode_words(sent):
         encode = _encoder(sent.value)
         known: dict[bytes, list[int]] = {}
         for batch in batches:
-            placed = pc.less(batch.column("part"), 0)
-            yield batch.filter(placed)
-            for row in batch.filter(pc.invert(placed)).to_pylist():
+            for row in batch.to_pylist():
                 words, at, ids, counts = zstandard.ZstdDecompressor().decompress(row["words"]), 0, [], []
                 for n in row["sizes"]:
                     word = words[at : at + n]
@@ -123,13 +123,23 @@ def gather(flat: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray
 
 def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     found: list = []
+    last = at_place = None
     for batch in batches:
         for i in range(batch.num_rows):
+            block = batch.column("block")[i].as_py()
             row = {k: batch.column(k)[i].as_py() for k in ("part", "codes", "words")}
             if row["part"] >= 0:
+                if block != last or at_place:
+                    found, last, at_place, seen = [], block, False, set()
+                if row["part"] in seen:
+                    continue  # of another block with the same words
+                seen.add(row["part"])
                 codes, both = np.cumsum(unpack(row["codes"]).astype(np.int32)), unpack(row["words"])
                 found.append((codes, both[: len(codes)], both[len(codes) :].astype("<u4")))
                 continue
+            if block != last:
+                found, last = [], block
+            at_place = True
             size = sum(len(c) for c, _, _ in found)
             count, start, base = np.zeros(size, np.int64), np.zeros(size, np.int64), 0
             for codes, n, ids in found:
@@ -137,8 +147,9 @@ def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 start[codes] = base + np.cumsum(n) - n
                 base += len(ids)
             flat = np.concatenate([ids for _, _, ids in found]) if found else np.zeros(0, "<u4")
-            found = []
             codes, doc_ids, ends = unpack(row["codes"]), batch.column("doc_ids")[i].values, np.cumsum(batch.column("sizes")[i].values.to_numpy())
+            if len(codes) and int(codes.max()) >= size:
+                raise RuntimeError("the input's rows came in another order when they were read again")
             at = 0
             while at < len(ends):  # some texts at a time
                 low = ends[at - 1] if at else 0
@@ -152,21 +163,27 @@ def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     names=["doc_id", "n_tokens", "ids"],
                 )
                 at = to
+    trim()
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     """doc_id, n_tokens and ids (unsigned 32-bit, little-endian) for each row of docs (doc_id, text)."""
+    return _together(docs, ranks, pattern).mapInArrow(_assemble, "doc_id long, n_tokens long, ids binary")
+
+
+def _together(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
+    """Each block's ids, part by part, and then its positions."""
     spark = docs.sparkSession
+    small_batches(spark)
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    blocks = rows.mapInArrow(_blocks(pattern, n_parts), PACKED)
+    plan = docs._jdf.queryExecution().executedPlan().toString()
+    if re.search(r"Exchange|Python|InArrow|InPandas|\bSample|InMemoryTableScan|\brand", plan):
+        rows = written(rows, "bpe-texts")  # the texts are read twice, and must come in the same order
     sent = spark.sparkContext.broadcast(ranks)  # of fixed size
-    # words go to their part, and positions where the block's ids will meet them; both are made once
-    dealt = blocks.repartition(F.when(F.col("part") >= 0, F.hash("part")).otherwise(F.hash("block")))
-    words = dealt.mapInArrow(_encode_words(sent), PACKED)
-    # a block's ids come before its positions
-    together = words.repartition("block").sortWithinPartitions("block", F.desc("part"))
-    return together.mapInArrow(_assemble, "doc_id long, n_tokens long, ids binary")
+    packed = lambda words: rows.mapInArrow(_blocks(pattern, n_parts, words), PACKED)
+    ids = packed(True).repartition("part").mapInArrow(_encode_words(sent), PACKED)
+    return ids.unionByName(packed(False)).repartition("block").sortWithinPartitions("block", F.desc("part"))
 
 
 def token_bytes(spark: SparkSession, ranks: dict[bytes, int]):
@@ -179,10 +196,7 @@ def token_bytes(spark: SparkSession, ranks: dict[bytes, int]):
     return spark.sparkContext.broadcast((np.frombuffer(bytes(blob), np.uint8), start, count))
 
 
-def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """encoded with `decoded`, the bytes of its ids. An id without a token is an error."""
-    sent = token_bytes(encoded.sparkSession, ranks)
-
+def _decoded(sent):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blob, start, count = sent.value
         for whole in batches:
@@ -195,6 +209,17 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
                 cuts = np.concatenate([[0], np.cumsum(count[ids])])[np.cumsum([0, *(len(x) // 4 for x in raw)])]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([data[x:y] for x, y in zip(cuts, cuts[1:], strict=False)], pa.binary())], names=[*batch.schema.names, "decoded"])
 
+    return rows
+
+
+def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+    """encoded with `decoded`, the bytes of its ids. An id without a token is an error."""
     encoded = encoded.select(*(c for c in encoded.columns if c != "decoded"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
-    return encoded.mapInArrow(rows, f"{kinds}, decoded binary")
+    return encoded.mapInArrow(_decoded(token_bytes(encoded.sparkSession, ranks)), f"{kinds}, decoded binary")
+
+
+def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
+    """doc_id, n_tokens, ids and decoded: encode() and decode() in one Python worker of a task."""
+    decoded = _decoded(token_bytes(docs.sparkSession, ranks))
+    return _together(docs, ranks, pattern).mapInArrow(lambda batches: decoded(_assemble(batches)), "doc_id long, n_tokens long, ids binary, decoded binary")

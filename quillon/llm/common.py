@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -86,6 +87,19 @@ def text_of(df: DataFrame, column: str = "text") -> Column:
     return F.coalesce(df[column], F.lit(""))
 
 
+def trim() -> None:
+    """Give freed memory back to the system: workers live on, and an executor's limit counts what they hold."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+except OSError:
+    _LIBC = None
+
+
 def parts(batch: pa.RecordBatch, column: str = "text", most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of batch whose texts come to about `most` bytes: at least one row, and never part of a text."""
     if not batch.num_rows:
@@ -97,6 +111,7 @@ def parts(batch: pa.RecordBatch, column: str = "text", most: int = 1 << 20) -> I
         to = max(at + 1, int(ends.searchsorted(base + most, side="right")))
         yield batch.slice(at, to - at)
         at = to
+    trim()
 
 
 def gathered(batches: Iterator[pa.RecordBatch], column: str = "text", least: int = 8 << 20) -> Iterator[pa.RecordBatch]:
@@ -119,5 +134,6 @@ def zipped(texts: pa.Array) -> pa.Array:
 
 
 def unzipped(column: pa.Array) -> list[bytes]:
+    trim()
     by = zstandard.ZstdDecompressor().decompress
     return [by(x) for x in column.to_pylist()]
