@@ -18,7 +18,7 @@ BITS = 16
 SIZE = 3 << BITS
 _PAIR = np.uint64(0x9FB21C651E98DF25)
 _FOUR = np.uint32(0x85EBCA6B)
-COUNTS = ("symbols", "capitals", "digits", "repeats", "dup_lines", "length", "word_length", "short")
+COUNTS = ("symbols", "capitals", "digits", "repeats", "dup_lines", "length", "word_length", "short", "stutter")
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 _CAPITAL = np.zeros(256, bool)
@@ -32,7 +32,8 @@ def grams(t: Texts) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     h = t.word_hash()
     yield (h >> np.uint64(64 - BITS)).astype(np.int32), np.stack([t.words_at[:-1], t.words_at[1:]])
     pair = mixed(h[:-1] * _PAIR + h[1:])
-    yield (pair >> np.uint64(64 - BITS)).astype(np.int32) + (1 << BITS), np.stack([t.words_at[:-1], np.maximum(t.words_at[1:] - 1, t.words_at[:-1])])
+    # a word twice is one n-gram, whatever the word
+    yield np.where(h[:-1] == h[1:], np.int32(0), (pair >> np.uint64(64 - BITS)).astype(np.int32)) + np.int32(1 << BITS), np.stack([t.words_at[:-1], np.maximum(t.words_at[1:] - 1, t.words_at[:-1])])
     d = t.data.astype(np.uint32)
     four = d[:-3] | d[1:-2] << np.uint32(8) | d[2:-1] << np.uint32(16) | d[3:] << np.uint32(24) if len(d) > 3 else d[:0]
     yield ((four * _FOUR) >> np.uint32(32 - BITS)).astype(np.int32) + (2 << BITS), np.stack([t.at[:-1], np.maximum(t.at[1:] - 3, t.at[:-1])])
@@ -108,6 +109,10 @@ def counts(t: Texts) -> np.ndarray:
     size = np.maximum(np.diff(t.at), 1)
     words = np.maximum(base["n_words"], 1)
     lines = t.count(t.data == 10) + 1
+    h = t.word_hash()
+    again = np.zeros(len(h), bool)
+    again[1:] = h[1:] == h[:-1]
+    again[t.words_at[:-1][t.n_words > 0]] = False
     return np.stack(
         [
             np.minimum(base["n_symbols"] / words, 3.0),
@@ -118,6 +123,7 @@ def counts(t: Texts) -> np.ndarray:
             np.log1p(base["n_words"]) / 5,
             np.minimum(base["word_chars"] / words, 20) / 5,
             (base["n_words"] < 10).astype(float),
+            per_group(again, t.words_at) / words,
         ],
         axis=1,
     )

@@ -25,7 +25,7 @@ from .textvec import Texts
 #: Labelled rows to fit on at most.
 SAMPLE = 2400
 #: Fixed thresholds: the least probability of label 1; words at least; percent of words in repeated windows at most.
-KEEP, LEAST_WORDS, MOST_REPEATED = 0.2, 10, 20
+KEEP, LEAST_WORDS, MOST_REPEATED = 0.5, 10, 20
 COLUMNS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, probability double, kept boolean"
 
 
