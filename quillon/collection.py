@@ -21,6 +21,7 @@ from .functions import kinds as K
 from .functions.kinds import Kind, MergeRule
 from .functions.values import Rule, holds, rule
 from .operators import keys
+from .plans.accessor import SAME
 from .plans.selection import ROW, Selection, Table
 from .sources.store import Conflict, Manifest, Store, change_schema, folded, read
 
@@ -36,6 +37,7 @@ class Collection:
         self.rules: dict[str, tuple[str, Rule]] = {}
         self.triggers: dict[str, tuple[str, Callable[[DataFrame], None]]] = {}
         self._closing: list = []
+        self._sinks: list[Callable[[DataFrame], None]] = []
         try:
             self.manifest = self.store.load()
         except FileNotFoundError:
@@ -143,6 +145,10 @@ class Collection:
         else:
             raise ValueError(f"no index {name}")
 
+    def on_commit(self, append: Callable[[DataFrame], None]) -> None:
+        """After each commit append gets its changes, as changes() has them: a sink of one's own."""
+        self._sinks.append(append)
+
     def create_trigger(self, name: str, column: str, act: Callable[[DataFrame], None]) -> None:
         """After each commit act gets the column's changes: row_id, op (put or delete), value. Earlier ones aren't told."""
         self._free(name)
@@ -276,6 +282,8 @@ class Collection:
         changed = replace(self.manifest, version=version, changes=[*self.manifest.changes, entry], next_row=next_row, applied=self.manifest.applied if applied is None else applied)
         self.store.publish(changed)
         self.manifest = changed
+        for append in self._sinks:
+            append(self.changes(version - 1))
         for column, act in self.triggers.values():
             own = self.changes(version - 1).where(F.array_contains("written", column) | (F.col("op") == "delete"))
             act(own.select(ROW, F.when(F.col("op") == "delete", "delete").otherwise("put").alias("op"), F.col("row").getField(column).alias("value")))
@@ -612,19 +620,18 @@ class Row:
 
 def _typed(name: str):
     def read_(self, column: str):
-        if self._txn._kind(column).name not in _SAME.get(name, (name,)):
+        if self._txn._kind(column).name not in SAME.get(name, (name,)):
             raise TypeError(f"{column} isn't of kind {name}")
         return self.get(column)
 
     def write(self, column: str, value):
-        if self._txn._kind(column).name not in _SAME.get(name, (name,)):
+        if self._txn._kind(column).name not in SAME.get(name, (name,)):
             raise TypeError(f"{column} isn't of kind {name}")
         return self.set(column, value)
 
     return read_, write, lambda self, column, delta: self.merge(column, delta)
 
 
-_SAME = {"int": ("int", "int64"), "int64": ("int", "int64"), "uint": ("uint", "uint64"), "uint64": ("uint", "uint64"), "string": ("string", "enum", "key")}
 for _name in ("int", "int16", "int32", "int64", "uint", "uint16", "uint32", "uint64", "float32", "float64", "string", "enum", "record"):
     for _prefix, _method in zip(("", "set_", "merge_"), _typed(_name), strict=True):
         setattr(Row, _prefix + _name, _method)

@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 from ..functions.kinds import Kind, of_type
 from ..functions.values import Rule, as_float, as_int, as_uint, holds, rule
 
+from .accessor import Accessor, Expiry
+
 ROW = "row_id"
 
 
@@ -239,6 +241,19 @@ class Selection:
         """An aggregate of this selection as a value for another rule: a scalar subquery."""
         return self.agg(v=aggregate).scalar()
 
+    # typed access
+
+    def any(self, column: str) -> Accessor:
+        return Accessor(self, column)
+
+    def ttl(self, column: str = "expire") -> Expiry:
+        return Expiry(self, column)
+
+    def key(self) -> Accessor:
+        if self.table.key is None:
+            raise ValueError("the table has no key")
+        return Accessor(self, self.table.key)
+
     # all rows, changed where selected
 
     def updated(self, **values) -> DataFrame:
@@ -256,3 +271,15 @@ class Selection:
     def deleted(self) -> DataFrame:
         """The rows that aren't selected."""
         return self.table.df.where(~holds(self.condition))
+
+
+def _typed(kind: str):
+    def access(self: Selection, column: str) -> Accessor:
+        return Accessor(self, column, kind)
+
+    access.__doc__ = f"Access to a column of kind {kind}; another kind is an error."
+    return access
+
+
+for _kind in ("int", "int16", "int32", "int64", "uint", "uint16", "uint32", "uint64", "float32", "float64", "string", "enum", "record"):
+    setattr(Selection, _kind, _typed(_kind))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .collection import Collection
 from .operators import keys
 from .operators.aggregates import any_row, avg_of, count, exact_sum, max_of, min_of, sum_of
 from .operators.ordering import ascending
@@ -277,3 +280,124 @@ def sum_strict_wraps(spark, d):
     from .functions.values import wrapped
 
     return parts(spark, d).agg(s=wrapped(F.sum(F.col("p_partkey").cast("decimal(38,0)") * 1000), 16).cast("smallint"))
+
+
+# stored collections: loaded, changed by transactions and read back
+
+
+def stored(spark: SparkSession, name: str, **columns) -> Collection:
+    """A new collection in the folder that the session shares, or in a temporary one of a local session."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    c = Collection(spark, f"{shared or tempfile.mkdtemp()}/{name}-{uuid.uuid4().hex}")
+    for column, kind in columns.items():
+        c.create_column(column, kind)
+    return c
+
+
+def nations(spark: SparkSession, d: str) -> Collection:
+    c = stored(spark, "nation", n_nationkey="int32", n_name="string", n_regionkey="int32")
+    c.create_index("first", "n_regionkey", "n_regionkey = 0")
+    c.create_index("second", "n_regionkey", "n_regionkey = 1")
+    c.create_index("third", "n_regionkey", "n_regionkey = 2")
+    c.insert_many(spark.read.parquet(f"{d}/nation.parquet"))
+    return c
+
+
+def customers_stored(spark: SparkSession, d: str) -> Collection:
+    c = stored(spark, "customer", c_name="key", c_acctbal="float64", c_mktsegment="enum")
+    c.create_index("building", "c_mktsegment", "c_mktsegment = 'BUILDING'")
+    c.insert_many(spark.read.parquet(f"{d}/customer.parquet").select("c_name", "c_acctbal", "c_mktsegment"))
+    return c
+
+
+@query("select case when n_regionkey=1 then n_nationkey+100 else n_nationkey end as n_nationkey, case when n_regionkey=0 then 'changed' else n_name end as n_name from nation where n_regionkey<>2 union all select 99, 'inserted'")
+def txn_commit(spark, d):
+    c = nations(spark, d)
+    with c.txn() as t:
+        t.select().with_("first").set(n_name="changed")
+        t.select().with_("second").merge(n_nationkey=100)
+        t.select().with_("third").delete_all()
+        t.insert(n_nationkey=99, n_name="inserted")
+    return c.select().select("n_nationkey", "n_name")
+
+
+@query("select n_nationkey, n_name from nation")
+def txn_rollback(spark, d):
+    c = nations(spark, d)
+    try:
+        with c.txn() as t:
+            t.select().set(n_name="lost")
+            t.select().with_("third").delete_all()
+            raise RuntimeError
+    except RuntimeError:
+        pass
+    return c.select().select("n_nationkey", "n_name")
+
+
+@query("select c_name, case when c_acctbal<0 then 0.0e0 else c_acctbal end as c_acctbal, c_mktsegment from customer union all select 'nobody', 1.0e0, null")
+def txn_upsert_many(spark, d):
+    c = customers_stored(spark, d)
+    below = spark.read.parquet(f"{d}/customer.parquet").where("c_acctbal < 0").select("c_name", F.lit(0.0).alias("c_acctbal"))
+    with c.txn() as t:
+        t.upsert_many(below.unionByName(spark.createDataFrame([("nobody", 1.0)], "c_name string, c_acctbal double")))
+    return c.select().select("c_name", "c_acctbal", "c_mktsegment")
+
+
+@query("select c_name, case when c_mktsegment='BUILDING' then c_acctbal+1.0e0 else c_acctbal end as c_acctbal from customer where c_acctbal<9000 or c_mktsegment='BUILDING' and c_acctbal+1.0e0<9000")
+def snapshot_restore(spark, d):
+    c = customers_stored(spark, d)
+    folder = f"{c.store.root}-snapshot"
+    c.snapshot(folder)
+    mark = c.manifest.version
+    with c.txn() as t:
+        t.select().with_("building").merge(c_acctbal=1.0)
+    with c.txn() as t:
+        t.select().with_float("c_acctbal", lambda b: b >= 9000).delete_all()
+    other = stored(spark, "restored", c_name="key", c_acctbal="float64", c_mktsegment="enum")
+    other.restore(folder, c.changes(mark))
+    return other.select().select("c_name", "c_acctbal")
+
+
+@query("select c_name, case when c_mktsegment='BUILDING' then c_acctbal+2.0e0 else c_acctbal end as c_acctbal from customer")
+def replay_changes(spark, d):
+    c = customers_stored(spark, d)
+    other = stored(spark, "replica", c_name="key", c_acctbal="float64", c_mktsegment="enum")
+    for _ in range(2):
+        with c.txn() as t:
+            t.select().with_("building").merge(c_acctbal=1.0)
+        other.replay(c.changes(), "customer")
+        other.replay(c.changes(), "customer")  # once more changes nothing
+    return other.select().select("c_name", "c_acctbal")
+
+
+@query("select 'delete' as op, count(*) as n from nation where n_regionkey=2 union all select 'insert', count(*) from nation union all select 'put', count(*) from nation where n_regionkey=0")
+def change_log(spark, d):
+    c = nations(spark, d)
+    with c.txn() as t:
+        t.select().with_("first").set(n_name="changed")
+        t.select().with_("third").delete_all()
+    return c.changes().groupBy("op").agg(F.count("*").alias("n"))
+
+
+@query("select event_id from events where not (ts + interval '1' day < timestamp '2024-01-05 00:00:00')")
+def vacuum(spark, d):
+    c = stored(spark, "events", event_id="int64")
+    at = F.unix_micros(F.col("ts").cast("timestamp_ltz")) * 1000 + F.lit(86_400_000_000_000)
+    c.insert_many(spark.read.parquet(f"{d}/events.parquet").select("event_id", at.alias("expire")))
+    c.vacuum(now_ns=1_704_412_800_000_000_000)
+    return c.select().select("event_id")
+
+
+@query("select event_id, cast(json_extract(props, '$.k') as bigint) as k from events where cast(json_extract(props, '$.k') as bigint) >= 3")
+def record_fields(spark, d):
+    rows = spark.read.parquet(f"{d}/events.parquet").select("event_id", F.from_json("props", "k bigint").alias("props"))
+    return Table.of(rows, "event_id").select().with_value("props", lambda r: r["k"] >= 3).select("event_id", F.col("props.k").alias("k"))
+
+
+@query("select user_id, string_agg(event_type, ', ' order by event_id) as history from events group by user_id")
+def replay_merge_string(spark, d):
+    deltas = F.array_sort(F.collect_list(F.struct("event_id", "event_type")))
+    join = lambda now, x: F.when(now == "", x["event_type"]).otherwise(F.concat(now, F.lit(", "), x["event_type"]))
+    return spark.read.parquet(f"{d}/events.parquet").groupBy("user_id").agg(deltas.alias("d")).select("user_id", F.aggregate("d", F.lit(""), join).alias("history"))
