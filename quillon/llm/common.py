@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Scratch tables that are still on disk, by session.
 _SCRATCH: dict[int, list[str]] = {}
@@ -50,6 +53,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, until release()."""
+    if not _SCRATCH:
+        atexit.register(_tidy, spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     _SCRATCH.setdefault(id(spark.sparkContext), []).append(path)
     return path
@@ -67,6 +72,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _tidy(spark: SparkSession) -> None:
+    """At the end of the program; a session that was stopped leaves its tables to whoever clears the folder."""
+    with contextlib.suppress(Exception):
+        release(spark)
+
+
 def scratch(spark: SparkSession) -> list[str]:
     """Paths of the scratch tables that are still on disk."""
     return list(_SCRATCH.get(id(spark.sparkContext), ()))
@@ -82,9 +93,23 @@ def release(spark: SparkSession, paths: list[str] | None = None) -> None:
         held.remove(path)
 
 
-def text_of(df: DataFrame, column: str = "text") -> Column:
-    """The whole text; a null text counts as empty."""
-    return F.coalesce(df[column], F.lit(""))
+def apply(docs: DataFrame, rows: Callable, results: str) -> DataFrame:
+    """docs with the columns `results` that rows (for mapInArrow) adds to its batches of `row` and `text`.
+
+    The other columns go along as one struct, whatever their names; of those named like a result the result stays.
+    """
+    new = [r.split()[0] for r in results.split(", ")]
+    names = [c for c in docs.columns if c not in new]
+    others = [docs[f"`{c}`"] for c in names if c != "text"]
+    row = F.struct(*(others or [F.lit(None).cast("int").alias("none")]))
+    there = docs.select(row.alias("row"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
+    out = there.mapInArrow(rows, f"row {quoted(there.schema['row'].dataType)}, text string, {results}")
+    return out.select(*("text" if c == "text" else F.col("row").getField(c).alias(c) for c in names), *new)
+
+
+def quoted(kind: T.DataType) -> str:
+    """A type as text; names in a struct are quoted."""
+    return "struct<" + ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in kind.fields) + ">" if isinstance(kind, T.StructType) else kind.simpleString()
 
 
 def trim() -> None:

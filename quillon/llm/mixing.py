@@ -98,7 +98,7 @@ def placed(docs: DataFrame, weights: dict[str | None, float] | None = None, bloc
 def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block: int = BLOCK, slots: int = SLOTS, bucket: int = BUCKET) -> DataFrame:
     """docs with slot and position, in the order of position. The rows move twice: to be numbered, and into the order."""
     names = [c for c in docs.columns if c not in ("slot", "position")]
-    rows = docs.select("doc_id", "source", F.struct(*(docs[c] for c in names if c not in ("doc_id", "source"))).alias("row"))
+    rows = docs.select("doc_id", "source", F.struct(*(docs[f"`{c}`"] for c in names if c not in ("doc_id", "source"))).alias("row"))
     out = _place(rows, weights, block, slots, bucket)
     out = out.select(*(c if c in ("doc_id", "source") else F.col("row").getField(c).alias(c) for c in names), "slot", "position")
     return out.repartitionByRange("position").sortWithinPartitions("position")

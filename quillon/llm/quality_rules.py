@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import features
-from .common import parts
+from .common import apply, parts
 from .labelled import Sample, sample
 from .textvec import Texts
 
@@ -86,8 +86,4 @@ def judge(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, keep: float =
     def rows(batches):
         yield from _scored(sent.value, keep)(batches)
 
-    new = [c.split()[0] for c in COLUMNS.split(", ")]
-    docs = docs.select(*(c for c in docs.columns if c not in new))
-    there = docs.select(*(F.coalesce(docs[c].cast("string"), F.lit("")).alias("text") if c == "text" else docs[c] for c in docs.columns))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in there.schema.fields)
-    return there.mapInArrow(rows, f"{kinds}, {COLUMNS}")
+    return apply(docs, rows, COLUMNS)

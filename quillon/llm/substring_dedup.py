@@ -174,7 +174,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
     """docs with `kept` (the words left, joined by one space), `n_words` (before) and `spans` (first word and end of each removed run)."""
     names = [c for c in docs.columns if c not in ("kept", "n_words", "spans")]
-    there = windows.keyed(docs, row=F.struct(*(docs[c] for c in names if c != "text")))
+    there = windows.keyed(docs, row=F.struct(*(docs[f"`{c}`"] for c in names if c != "text")))
     found = windows.with_lists(there, repeats(docs, length, gram, crowd), "left")
     out = found.select("row", "text", "segs").mapInArrow(_strip(length), f"row {windows.struct_type(found, 'row')}, text string, kept string, n_words long, spans array<struct<start: int, end: int>>")
     return out.select(*("text" if c == "text" else F.col("row").getField(c).alias(c) for c in names), "kept", "n_words", "spans")

@@ -258,7 +258,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, as_t
     as_text: kept is a string, without what is left of a character that was cut.
     """
     names = [c for c in docs.columns if c not in ("kept", "spans")]
-    there = windows.keyed(docs, row=F.struct(*(docs[c] for c in names if c != "text")))
+    there = windows.keyed(docs, row=F.struct(*(docs[f"`{c}`"] for c in names if c != "text")))
     found = windows.with_lists(there, repeats(docs, length, gram, crowd), "left")
     out = found.select("row", "text", "segs").mapInArrow(_strip(length, as_text), f"row {windows.struct_type(found, 'row')}, text string, kept {'string' if as_text else 'binary'}, spans array<struct<start: int, end: int>>")
     return out.select(*("text" if c == "text" else F.col("row").getField(c).alias(c) for c in names), "kept", "spans")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts, unzipped, written, zipped
+from .common import parts, quoted, unzipped, written, zipped
 from .textvec import Rolling, mixed
 
 SEGMENTS = "doc_id long, th long, mh long, sh long, a int, n int"
@@ -109,9 +109,7 @@ def with_lists(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
 
 
 def struct_type(df: DataFrame, column: str) -> str:
-    """The type of a column; names in a struct are quoted."""
-    kind = df.schema[column].dataType
-    return "struct<" + ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in kind.fields) + ">" if hasattr(kind, "fields") else kind.simpleString()
+    return quoted(df.schema[column].dataType)
 
 
 def unpacked(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

@@ -60,7 +60,7 @@ def test_models_on_held_out_rows(spark):
 
 
 def test_edges(spark):
-    docs = spark.createDataFrame([(1, "word " * 30, 5), (None, None, 6), (1, "word " * 30, 5), (2, "", 7)], "doc_id long, text string, kept int")
+    docs = spark.createDataFrame([(1, "word " * 30, 5), (None, None, 6), (1, "word " * 30, 5), (2, "", 7)], "doc_id long, text string, `kept.x` int")
     none = spark.createDataFrame([], "doc_id long, quality int")
     one = spark.createDataFrame([(1, 1), (None, 0), (2, None)], "doc_id long, quality int")
     for labels in (none, one):
