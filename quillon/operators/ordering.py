@@ -12,10 +12,10 @@ def ascending(df: DataFrame, column: str, distinct_keys: bool = False) -> DataFr
     """Rows with a key, by key and then by row. distinct_keys: of equal keys only the last written row, the one with the largest row id."""
     there = df.where(F.col(column).isNotNull())
     if distinct_keys:
-        # pre-aggregated before the shuffle, unlike a window's rows
-        fields = [c for c in df.columns if c != column]
-        last = there.groupBy(column).agg(F.max_by(F.struct(*fields), F.col(ROW)).alias("_last"))
-        there = last.select(*(F.col(column) if c == column else F.col("_last").getField(c).alias(c) for c in df.columns))
+        # pre-aggregated before the shuffle, unlike a window's rows; by column, so that numbers are aggregated in place
+        fields = [c for c in df.columns if c not in (column, ROW)]
+        last = there.groupBy(column).agg(F.max(ROW).alias(ROW), *(F.max_by(c, ROW).alias(c) for c in fields))
+        there = last.select(*df.columns)
     return there.orderBy(F.col(column).asc(), F.col(ROW).asc())
 
 

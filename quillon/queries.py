@@ -199,7 +199,7 @@ def ascend(spark, d):
 
 @query("select p_brand, max(p_partkey) as p_partkey from part group by p_brand")
 def ascend_distinct_keys(spark, d):
-    return ascending(parts(spark, d).rows(), "p_brand", distinct_keys=True).select("p_brand", "p_partkey")
+    return ascending(parts(spark, d).select("row_id", "p_brand", "p_partkey"), "p_brand", distinct_keys=True).select("p_brand", "p_partkey")
 
 
 @query("select c_custkey, c_acctbal from customer where c_mktsegment='BUILDING' order by c_acctbal, c_custkey limit 25")
