@@ -288,7 +288,7 @@ def sum_strict_wraps(spark, d):
 def stored(spark: SparkSession, name: str, **columns) -> Collection:
     """A new collection in the folder that the session shares, or in a temporary one of a local session."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not spark.sparkContext.master.startswith("local"):
+    if not shared and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     c = Collection(spark, f"{shared or tempfile.mkdtemp()}/{name}-{uuid.uuid4().hex}")
     for column, kind in columns.items():
