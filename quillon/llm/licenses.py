@@ -3,7 +3,7 @@
 A paragraph is a line, in pieces of PIECE words at most. Hashed single words and word pairs feed a multinomial
 logistic regression over the licence families and `unknown`. It is trained on the driver on notices (TEMPLATES)
 that are cut, joined and disturbed, and, as `unknown`, on made-up prose, prose about licences, and a bounded
-sample of the corpus (SAMPLE documents). A held-out part sets the temperature at which the class probabilities
+sample of the corpus (PIECES pieces of SAMPLE documents). A held-out part sets the temperature at which the class probabilities
 are calibrated. Neighbouring pieces of one family are one finding; it is confirmed if it shares enough word
 triples with one of the family's templates, or the template with it.
 
@@ -24,8 +24,8 @@ from . import features
 from .common import parts
 from .textvec import LOWER, Texts, mixed
 
-#: Words of a piece; documents sampled for `unknown`; least probability of a family; least share of common triples.
-PIECE, SAMPLE, LEAST, ALIKE = 40, 400, 0.5, 0.6
+#: Words of a piece; documents sampled for `unknown`, and pieces of theirs; least probability of a family; least share of common triples.
+PIECE, SAMPLE, PIECES, LEAST, ALIKE = 40, 400, 4000, 0.5, 0.6
 BITS = 15
 UNKNOWN = "unknown"
 
@@ -209,15 +209,14 @@ def training_rows(sample: list[str], seed: int = 3, copies: int = 60) -> tuple[l
     for text in [*NEAR * 30, *(noise(rng.integers(1, PIECE)) for _ in range(1500))]:
         texts.append(text)
         labels.append(UNKNOWN)
-    for text in sample:
-        for line in text.split("\n"):
-            words = line.split()
-            for i in range(0, len(words), PIECE):
-                piece = " ".join(words[i : i + PIECE])
-                folded = _words(piece)
-                if folded and likeness(folded, known) < 0.3:
-                    texts.append(piece)
-                    labels.append(UNKNOWN)
+    some = [" ".join(words[i : i + PIECE]) for text in sample for words in map(str.split, text.split("\n")) for i in range(0, len(words), PIECE)]
+    if len(some) > PIECES:
+        some = [some[i] for i in np.sort(rng.choice(len(some), PIECES, replace=False))]
+    for piece in some:
+        folded = _words(piece)
+        if folded and likeness(folded, known) < 0.3:
+            texts.append(piece)
+            labels.append(UNKNOWN)
     return texts, labels
 
 
