@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import parts, unzipped, written, zipped
 from .components import components
 from .textvec import mixed
 
@@ -179,8 +179,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 
 #: Wide fingerprints: their 64-bit words, the shingle's words, and the least similarity of two shingle sets (Jaccard's, as estimated).
 WIDE, WIDE_SHINGLE, SIMILARITY = 16, 5, 0.8
-#: Wide fingerprints in a shard's BK-tree at most; more are compared in arrays.
+#: Wide fingerprints in a BK-tree at most; more are compared in arrays.
 TREE = 48
+#: Bands of a set, and least hashes of a band; shingles of a shard's sets, about.
+BANDS, ROWS, SHINGLES = 24, 4, 4_000_000
 
 
 def wide_fingerprint(text: bytes, shingle: int = WIDE_SHINGLE, words: int = WIDE, seed: int = SEED) -> bytes:
@@ -204,24 +206,32 @@ def most_bits(similarity: float, bits: int) -> int:
     return int(bits * np.arccos(cosine) / np.pi)
 
 
-def _wide_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = [wide_fingerprint(x) for x in batch.column("text").cast(pa.binary()).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([xxhash.xxh3_64_intdigest(x) - (1 << 63) for x in found], pa.int64()), pa.array(found, pa.binary())], names=["doc_id", "fp", "bits"])
+def shingles(text: bytes, shingle: int = WIDE_SHINGLE, seed: int = SEED) -> np.ndarray:
+    """The set of a text's shingles: their hashes, in order. A text without a whole one is its own."""
+    found = text.lower().split()
+    h = xxhash.xxh64_intdigest
+    hashes = {h(s, seed) for s in map(b" ".join, zip(*(found[i:] for i in range(shingle)), strict=False))} if len(found) > shingle else {h(b" ".join(found), seed)}
+    return np.sort(np.fromiter(hashes, np.uint64, len(hashes)))
 
 
-def _wide_keys(width: int):
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            bits = np.unpackbits(np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint8).reshape(batch.num_rows, -1), axis=1)
-            n = bits.shape[1] // width
-            value = bits[:, : n * width].reshape(-1, n, width).astype(np.int64) @ (1 << np.arange(width, dtype=np.int64))
-            key = value | np.arange(n, dtype=np.int64) << 40
-            yield pa.RecordBatch.from_arrays([batch.column("fp").take(pa.array(np.repeat(np.arange(batch.num_rows), n))), pa.array(key.ravel())], names=["fp", "key"])
+def bands(hashes: np.ndarray) -> np.ndarray:
+    """A key for each band: equal where all the band's least hashes are."""
+    least = np.full(len(_DRAWS), np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(hashes), 1024):
+        np.minimum(least, mixed(hashes[i : i + 1024, None] + _DRAWS).min(axis=0), out=least)
+    cut = least.reshape(BANDS, ROWS)
+    return np.array([xxhash.xxh3_64_intdigest(x.tobytes(), j) for j, x in enumerate(cut)], np.uint64).view(np.int64)
+
+
+_DRAWS = np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
-    return rows
+
+def _set_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in (x for whole in batches for x in parts(whole)):
+        sets = [shingles(x) for x in batch.column("text").cast(pa.binary()).to_pylist()]
+        fp = pa.array([xxhash.xxh3_64_intdigest(x.tobytes()) - (1 << 63) for x in sets], pa.int64())
+        keys = pa.array([bands(x) for x in sets], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), fp, pa.array([len(x) for x in sets], pa.int64()), keys, zipped(batch.column("text"))], names=["doc_id", "fp", "n", "keys", "zip"])
 
 
 def wide_forest(prints: list[bytes], radius: int) -> list[tuple[int, int]]:
@@ -244,13 +254,36 @@ def wide_forest(prints: list[bytes], radius: int) -> list[tuple[int, int]]:
     return out
 
 
-def _wide_shards(radius: int):
+def set_forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links (numbers of sets) that join sets of that Jaccard similarity, directly or by way of others; exact."""
+    sizes = np.array([len(x) for x in sets])
+    values = np.concatenate(sets)
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], np.repeat(np.arange(len(sets)), sizes)[order]
+    left, out, todo = np.arange(1, len(sets)), [], [0]
+    # breadth first: each set that was reached is compared with those that were not
+    while len(left):
+        at = todo.pop() if todo else None
+        if at is None:
+            at, left = int(left[0]), left[1:]
+        low, high = np.searchsorted(values, sets[at], "left"), np.searchsorted(values, sets[at], "right")
+        n = high - low
+        lists = np.repeat(high - np.cumsum(n), n) + np.arange(n.sum())
+        both = np.bincount(owner[lists], minlength=len(sets))[left]
+        near = both / (sizes[at] + sizes[left] - both) >= similarity
+        out += [(at, int(j)) for j in left[near]]
+        todo += left[near].tolist()
+        left = left[~near]
+    return out
+
+
+def _set_shards(similarity: float):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held, ids, out = None, [], [], []
 
         def done():
             if len(held) > 1:
-                out.extend((ids[i], ids[j]) for i, j in wide_forest(held, radius))
+                out.extend((ids[i], ids[j]) for i, j in set_forest(held, similarity))
 
         def made():
             cols = list(zip(*out, strict=True)) or [[], []]
@@ -258,11 +291,11 @@ def _wide_shards(radius: int):
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b"])
 
         for batch in batches:
-            for key, fp, bits in zip(batch.column("key").to_pylist(), batch.column("fp").to_pylist(), batch.column("bits").to_pylist(), strict=True):
+            for key, fp, text in zip(batch.column("key").to_pylist(), batch.column("fp").to_pylist(), unzipped(batch.column("zip")), strict=True):
                 if key != last:
                     done()
                     held, ids, last = [], [], key
-                held.append(bits)
+                held.append(shingles(text))
                 ids.append(fp)
             if len(out) > 10_000:
                 yield made()
@@ -272,22 +305,30 @@ def _wide_shards(radius: int):
     return rows
 
 
-def similar_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, crowd: int = SHINGLES) -> DataFrame:
     """doc_id and component_id of texts whose sets of five-word shingles are similar, directly or by way of others.
 
-    Fingerprints are compared where they agree in one of many blocks of bits, so a pair right at the similarity
-    is found four times out of five, and one of 0.9 nearly always. Blocks are made wider as the corpus grows.
+    Sets are compared, exactly, where they have all the least hashes of a band in common, whatever the size of the
+    corpus: of pairs right at 0.8 all but (1 - 0.8 ** ROWS) ** BANDS meet, three in a million. A shard of over
+    `crowd` shingles is cut into parts, and each two parts meet in a task.
     """
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
-    prints = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text.alias("text")).mapInArrow(_wide_prints, "doc_id long, fp long, bits binary")
-    prints = written(prints, "simhash-wide")
-    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.first("bits").alias("bits")), "simhash-distinct")
-    width = min(32, max(12, int(np.ceil(np.log2(distinct.count() + 1))) + 3))
-    keyed = distinct.select("fp", "bits").mapInArrow(_wide_keys(width), "fp long, key long")
-    shared = keyed.groupBy("key").count().where("count > 1").select("key")
-    meeting = written(keyed.join(shared, "key", "left_semi"), "simhash-meeting")
-    shards = meeting.join(distinct.select("fp", "bits"), "fp").repartition("key").sortWithinPartitions("key", "fp")
-    tops = components(shards.mapInArrow(_wide_shards(most_bits(similarity, 64 * WIDE)), "a long, b long"))
+    prints = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text.alias("text")).mapInArrow(_set_prints, "doc_id long, fp long, n long, keys array<long>, zip binary")
+    prints = written(prints, "simhash-sets")
+    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("keys").alias("keys")), "simhash-distinct")
+    keyed = distinct.select("fp", "n", F.explode("keys").alias("key"))
+    # near copies share most of their bands: of shards with the same members one is enough
+    members = [F.bit_xor(F.xxhash64("fp", F.lit(i))).alias(f"m{i}") for i in range(2)]
+    shared = keyed.groupBy("key").agg(F.count("*").alias("members"), F.sum("n").alias("n"), *members).where("members > 1")
+    shared = shared.groupBy("members", "m0", "m1").agg(F.min("key").alias("key"), F.first("n").alias("all"))
+    cut = shared.select("key", F.ceil(F.col("all") / crowd).cast("int").alias("parts"))
+    meeting = written(keyed.join(cut, "key").select("fp", "key", "parts"), "simhash-meeting")
+    texts = prints.select("fp", "zip").join(meeting.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(F.first("zip").alias("zip"))
+    part = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
+    cells = meeting.select("fp", "key", part.alias("part"), F.explode(F.expr("sequence(0, parts - 1)")).alias("other"))
+    cells = cells.select("fp", F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")).alias("key"))
+    shards = cells.join(texts, "fp").repartition("key").sortWithinPartitions("key", "fp")
+    tops = components(shards.mapInArrow(_set_shards(similarity), "a long, b long"))
     placed = distinct.join(tops, distinct["fp"] == tops["node"], "left").select("fp", "least", F.coalesce("top", "fp").alias("top"))
     least = placed.groupBy("top").agg(F.min("least").alias("component_id"))
     return prints.select("doc_id", "fp").join(placed.join(least, "top").select("fp", "component_id"), "fp").select("doc_id", "component_id")
