@@ -1,12 +1,13 @@
 """Nearest neighbours by inner product, with vantage-point trees per shard.
 
-With M the largest norm, x' = (x, sqrt(M**2 - |x|**2)) and q' = (q, 0), the largest inner products with q are
+With M the largest norm of a shard, x' = (x, sqrt(M**2 - |x|**2)) and q' = (q, 0), the largest inner products with q are
 the smallest distances from q'. Each shard of vectors becomes a vantage-point tree over the x'; a subtree is
 left out if `factor` times its least possible distance (by the triangle inequality) exceeds the distance of the
-worst candidate held. Factor one is exact; larger factors leave out more.
+worst candidate held, by more than rounding can do. Factor one is exact; larger factors leave out more. Distances
+only prune: candidates are held by their exact inner products, as many as a query's own vectors can't crowd out.
 
 Equal vectors are one entry of a tree, with the smallest ids that any query may need. Queries go in blocks, and
-each block meets each shard in a task of its own, of bounded size. Candidates are scored anew on the original
+each block meets each shard in a task of its own, of bounded size. Candidates are scored on the original
 vectors, in double precision, component by component; ties go to the smaller id.
 
 Vectors that are null, zero, empty or hold null or non-finite components take no part, neither do rows without
@@ -24,8 +25,9 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-#: Neighbours; vectors in a shard and queries in a block, about; entries of a leaf; candidates held beyond k; lists merged at once.
-K, SHARD, QUERIES, LEAF, SPARE, MERGE = 20, 8192, 16_384, 512, 8, 64
+#: Neighbours; vectors in a shard and queries in a block, about; entries of a leaf; lists merged at once.
+K, SHARD, QUERIES, LEAF, MERGE = 20, 8192, 16_384, 512, 64
+EPS = np.finfo(float).eps
 
 
 class VPTree:
@@ -55,21 +57,19 @@ class VPTree:
             return rows  # all as far: no split
         return v, [(d[m].min(), d[m].max(), self._grow(rows[m])) for m in (inside, ~inside)]
 
-    def search(self, queries: np.ndarray, k: int, factor: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and distances of the k nearest of each query (fewer: row -1), in no order."""
-        best = np.full((len(queries), k), np.inf)
-        who = np.full((len(queries), k), -1, np.int64)
-        slack = 1e-7 * (1 + np.sqrt(self.squares.max(initial=0)))
+    def search(self, queries: np.ndarray, k: int, factor: float = 1.0, held: Held | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and distances of the k nearest of each query (fewer: row -1), in no order; with `held` what that holds."""
+        held = held or Held(self, queries, k)
+        # of a distance near zero the square's rounding leaves the root; three distances are compared
+        norms = np.sqrt((queries * queries).sum(axis=1))
+        slack = 4 * np.sqrt((queries.shape[1] + 4) * EPS) * (norms + np.sqrt(self.squares.max(initial=0)))
 
         def visit(node, of: np.ndarray):
             if not len(of):
                 return
             if isinstance(node, np.ndarray):
                 for part in np.array_split(of, max(1, len(of) * len(node) // 2_000_000)):
-                    d = np.concatenate([best[part], self._far(queries[part], node)], axis=1)
-                    ids = np.concatenate([who[part], np.broadcast_to(node, (len(part), len(node)))], axis=1)
-                    keep = np.argpartition(d, k - 1, axis=1)[:, :k]
-                    best[part], who[part] = np.take_along_axis(d, keep, 1), np.take_along_axis(ids, keep, 1)
+                    held.meet(part, node)
                 return
             v, (inner, outer) = node
             d = self._far(queries[of], np.array([v]))[:, 0]
@@ -77,11 +77,67 @@ class VPTree:
             for (_, _, first), (low, high, second), mine in ((inner, outer, near), (outer, inner, ~near)):
                 visit(first, of[mine])
                 least = np.maximum(0, np.maximum(d[mine] - high, low - d[mine]))
-                visit(second, of[mine][factor * least <= best[of[mine]].max(axis=1) + slack])
+                visit(second, of[mine][factor * least <= held.worst(of[mine]) + slack[of[mine]]])
 
         if len(self.points):
             visit(self.root, np.arange(len(queries)))
-        return who, best
+        return held.who, held.best
+
+
+class Held:
+    """The k rows nearest so far, by distance."""
+
+    def __init__(self, tree: VPTree, queries: np.ndarray, k: int):
+        self.tree, self.queries, self.k = tree, queries, k
+        self.best = np.full((len(queries), k), np.inf)
+        self.who = np.full((len(queries), k), -1, np.int64)
+
+    def meet(self, part: np.ndarray, node: np.ndarray) -> None:
+        d = np.concatenate([self.best[part], self.tree._far(self.queries[part], node)], axis=1)
+        ids = np.concatenate([self.who[part], np.broadcast_to(node, (len(part), len(node)))], axis=1)
+        keep = np.argpartition(d, self.k - 1, axis=1)[:, : self.k]
+        self.best[part], self.who[part] = np.take_along_axis(d, keep, 1), np.take_along_axis(ids, keep, 1)
+
+    def worst(self, of: np.ndarray) -> np.ndarray:
+        return self.best[of].max(axis=1)
+
+
+class Products(Held):
+    """The k rows of the largest exact inner products so far, of equal ones the first rows; best: the products, falling.
+
+    Products of matrices only leave out what their rounding errors can't bring among the k.
+    """
+
+    def __init__(self, x: np.ndarray, queries: np.ndarray, k: int, top: float):
+        self.x, self.queries, self.k = x, queries, k
+        self.best = np.full((len(queries), k), -np.inf)
+        self.who = np.full((len(queries), k), -1, np.int64)
+        self.squares = np.square(queries).sum(axis=1) + top
+        self.norms, self.lengths = (np.sqrt(np.square(a).sum(axis=1)) for a in (x, queries))
+
+    def meet(self, part: np.ndarray, node: np.ndarray) -> None:
+        x, q, k = self.x[node], self.queries[part], self.k
+        about = q @ x.T
+        error = 2 * (x.shape[1] + 4) * EPS * self.lengths[part][:, None] * self.norms[node] + np.finfo(float).tiny
+        least = np.where(self.who[part, -1] >= 0, self.best[part, -1], -np.inf)
+        if len(node) > k:
+            least = np.fmax(least, np.partition(about - error, len(node) - k, axis=1)[:, len(node) - k])
+        row, at = np.nonzero(~(about + error < least[:, None]))  # an overflow stays
+        score = np.concatenate([np.zeros(0), *(inner_products(q[row[i : i + 100_000]], x[at[i : i + 100_000]]) for i in range(0, len(row), 100_000))])
+        new = np.unique(row)
+        place = np.searchsorted(new, row)
+        best, who = self.best[part[new]], self.who[part[new]]
+        of = np.concatenate([np.repeat(np.arange(len(new)), k), place])
+        score, ids = np.concatenate([best.ravel(), score]), np.concatenate([who.ravel(), node[at]])
+        order = np.lexsort((ids, -score, ids < 0, of))
+        n = np.bincount(of, minlength=len(new))
+        rank = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+        order = order[rank < k]
+        self.best[part[new]], self.who[part[new]] = score[order].reshape(-1, k), ids[order].reshape(-1, k)
+
+    def worst(self, of: np.ndarray) -> np.ndarray:
+        far = np.sqrt(np.maximum(self.squares[of] - 2 * self.best[of, -1], 0))
+        return np.where(self.who[of, -1] >= 0, far, np.inf)
 
 
 def inner_products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -105,29 +161,26 @@ def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.binary()), pa.array([sorted(set(v)) for v in rows.values()], pa.list_(pa.int64()))], names=["vec", "ids"])
 
 
-def _norms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        square = [float(np.square(np.frombuffer(x, "<f8")).sum()) for x in batch.column("vec").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("dim"), pa.array(square, pa.float64())], names=["dim", "square"])
-
-
-def _search(k: int, factor: float, widest: dict[int, float]):
+def _search(k: int, factor: float):
     schema = pa.schema([("key", pa.int64()), ("query", pa.int64()), ("shard", pa.int32()), ("found", pa.list_(pa.struct([("minus", pa.float64()), ("ids", pa.list_(pa.int64()))])))])
 
     def pairs(shard: pa.Table, block: pa.Table) -> pa.Table:
         if not shard.num_rows or not block.num_rows:
             return schema.empty_table()
-        # one length of vectors in a shard
-        x = np.frombuffer(b"".join(shard.column("vec").to_pylist()), "<f8").reshape(shard.num_rows, -1)
-        q = np.frombuffer(b"".join(block.column("vec").to_pylist()), "<f8").reshape(block.num_rows, -1)
+        # one length of vectors in a shard; in the order of their smallest ids, by which equal products go
         ids = shard.column("ids").to_pylist()
-        top = widest[x.shape[1]]
-        rest = np.sqrt(np.maximum(top - np.square(x).sum(axis=1), 0))
-        tree = VPTree(np.column_stack([x, rest]))
-        who, _ = tree.search(np.column_stack([q, np.zeros(len(q))]), min(k, len(x)), factor)
-        row = np.repeat(np.arange(len(q)), who.shape[1])
-        score = inner_products(q[row], x[np.maximum(who.ravel(), 0)]).reshape(who.shape)
-        found = [[{"minus": -float(s), "ids": ids[i]} for s, i in zip(ss, ii, strict=True) if i >= 0] for ss, ii in zip(score.tolist(), who.tolist(), strict=True)]
+        order = sorted(range(len(ids)), key=ids.__getitem__)
+        ids = [ids[i] for i in order]
+        x = np.frombuffer(b"".join(shard.column("vec").to_pylist()), "<f8").reshape(shard.num_rows, -1)[order]
+        q = np.frombuffer(b"".join(block.column("vec").to_pylist()), "<f8").reshape(block.num_rows, -1)
+        with np.errstate(over="ignore", invalid="ignore"):
+            squares = np.square(x).sum(axis=1)
+            top = squares.max()
+            # squares that overflow have no distances: all rows are one leaf
+            flat = not np.isfinite(4 * (top + np.square(q).sum(axis=1).max()))
+            tree = VPTree(np.column_stack([x, np.sqrt(np.maximum(top - squares, 0))]), leaf=len(x) if flat else LEAF)
+            who, score = tree.search(np.column_stack([q, np.zeros(len(q))]), min(k, len(x)), factor, Products(x, q, min(k, len(x)), top))
+        found = [[{"minus": -s, "ids": ids[i]} for s, i in zip(ss, ii, strict=True) if i >= 0] for ss, ii in zip(score.tolist(), who.tolist(), strict=True)]
         return pa.table([block.column("key"), block.column("query"), pa.array([shard.column("shard")[0].as_py()] * len(q), pa.int32()), pa.array(found, schema.field("found").type)], schema=schema)
 
     return pairs
@@ -145,8 +198,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, factor: float =
     entries = packed(vectors).groupBy("vec").agg(few.alias("ids")).withColumn("dim", (F.octet_length("vec") / 8).cast("int"))
     entries = written(entries.withColumn("key", F.xxhash64("vec")), "ann-entries")
     asked = written(packed(queries).select("vec", F.explode("ids").alias("query_id")).distinct().withColumn("key", F.xxhash64("vec")), "ann-queries")
-    widest = {r["dim"]: r["square"] for r in entries.mapInArrow(_norms, "dim int, square double").groupBy("dim").agg(F.max("square").alias("square")).collect()}
     sizes = {r["dim"]: r["n"] for r in entries.groupBy("dim").agg(F.count("*").alias("n")).collect()}  # a row for each length of vectors
+    # vectors of a query's own id take places in its list, and are not shown
+    own_ids = entries.select(F.explode("ids").alias("query_id")).join(asked.select("query_id").distinct(), "query_id", "left_semi")
+    held = k + (own_ids.groupBy("query_id").count().agg(F.max("count")).first()[0] or 0)
     once = asked.select("key", "vec").distinct().withColumn("dim", (F.octet_length("vec") / 8).cast("int"))
     n_queries = once.count()
     blocks = max(1, -(-n_queries // block))
@@ -158,8 +213,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, factor: float =
     left = entries.select("vec", "ids", "dim", dealt.alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     right = once.select("vec", "key", F.xxhash64("vec", F.lit(1)).alias("query"), "dim", F.explode(F.sequence(F.lit(0), shards - 1)).alias("shard"), F.pmod(F.hash("key"), F.lit(blocks)).cast("int").alias("block"))
     by = ("dim", "shard", "block")
-    found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(_search(k + SPARE, factor, widest), "key long, query long, shard int, found array<struct<minus: double, ids: array<long>>>")
-    best = F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, k + SPARE).alias("found")
+    found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(_search(held, factor), "key long, query long, shard int, found array<struct<minus: double, ids: array<long>>>")
+    best = F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, held).alias("found")
     while most > MERGE:
         found = found.withColumn("shard", F.expr(f"shard div {MERGE}").cast("int")).groupBy("key", "query", "shard").agg(best)
         most = -(-most // MERGE)

@@ -59,3 +59,40 @@ def test_recall_and_pruning(factor, least):
     want = np.argsort(d, axis=1, kind="stable")[:, :10]
     recall = np.mean([len(set(a) & set(b)) / 10 for a, b in zip(who.tolist(), want.tolist(), strict=True)])
     assert recall >= least and seen < len(queries) * len(points) / 2
+
+
+def outlier(size):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(400, 8))
+    return [(i, v.tolist()) for i, v in enumerate(x / np.linalg.norm(x, axis=1)[:, None])] + [(400, [size] + [0.0] * 7)]
+
+
+one_hot = [(997 * i % 200, [float(j == i) for j in range(200)]) for i in range(200)]
+own_id = [(0, [1.0 + i, 1.0]) for i in range(60)] + [(1 + i, [0.5, i / 40]) for i in range(40)]
+
+
+@pytest.mark.parametrize("rows", [outlier(1e8), outlier(1e10), outlier(1e200), one_hot, own_id], ids=["1e8", "1e10", "1e200", "one hot", "own id"])
+def test_outliers_ties_and_own_vectors(spark, rows):
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    out = ann.nearest(df, df.where("vec_id % 20 = 0"), k=5, shard=150)
+    got = {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in out.collect()}
+    assert got == brute(rows, 5, lambda q: q % 20 == 0)
+
+
+def test_products_prune():
+    rng = np.random.default_rng(4)
+    x = np.concatenate([c + rng.normal(size=(100, 16)) * 0.3 for c in rng.normal(size=(40, 16)) * 4])
+    q, square = x[::37], np.square(x).sum(axis=1)
+    tree = ann.VPTree(np.column_stack([x, np.sqrt(square.max() - square)]), leaf=32)
+    held, seen = ann.Products(x, q, 10, square.max()), 0
+    meet = held.meet
+
+    def counted(part, node):
+        nonlocal seen
+        seen += len(part) * len(node)
+        meet(part, node)
+
+    held.meet = counted
+    who, score = tree.search(np.column_stack([q, np.zeros(len(q))]), 10, 1.0, held)
+    want = np.argsort(-np.array([ann.inner_products(np.broadcast_to(a, x.shape), x) for a in q]), axis=1, kind="stable")[:, :10]
+    assert (who == want).all() and (np.diff(score) <= 0).all() and seen < len(q) * len(x) / 2
