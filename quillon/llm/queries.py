@@ -11,6 +11,10 @@ from . import ann, bpe, licenses, mixing, quality_rules, ranking, simhash, subst
 from .common import scratch_path, table
 
 
+#: Words of a passage that op9 reports where it repeats.
+PASSAGE = 50
+
+
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
     return quality_rules.judge(docs, labels).drop("text")
@@ -64,7 +68,7 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = suffix_dedup.remove_repeats(docs)
+    out = suffix_dedup.remove_repeats(docs, passage=PASSAGE)
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
     return out.select(
         "doc_id",
@@ -72,6 +76,9 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         (size - F.octet_length("kept")).cast("long").alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
+        # passages may have fewer than 400 bytes: they are reported, not removed
+        F.size("passages").cast("long").alias("n_passages"),
+        F.aggregate("passages", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]).alias("passage_bytes"),
     )
 
 

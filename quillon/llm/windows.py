@@ -17,9 +17,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import parts, quoted, unzipped, written, zipped
-from .textvec import Rolling, mixed
+from .textvec import _BYTES, Rolling, Texts, buffers, mixed
 
 SEGMENTS = "doc_id long, th long, mh long, sh long, a int, n int"
+#: Keys of a join that are broadcast: the most common ones. Any other has a thousandth of the rows at most.
+HOT = 1000
+
+
+def byte_symbols(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    data, at = buffers(texts)
+    return _BYTES[data], at
+
+
+def word_symbols(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    found = Texts(texts)
+    return found.word_hash(), found.words_at
 
 
 def sliding_min(key: np.ndarray, width: int) -> np.ndarray:
@@ -44,9 +56,9 @@ def segments(symbols: np.ndarray, at: np.ndarray, length: int, gram: int) -> dic
         return none
     roll = Rolling(symbols)
     grams = roll.grams(gram)
-    bits = np.uint64(max(1, int(len(grams)).bit_length()))
+    bits = np.uint64(32)
     place = np.arange(len(grams), dtype=np.uint64)
-    # ties go to the leftmost gram: its place within the window depends on the window alone
+    # half of the hash decides, whatever the batch, and of equal halves the leftmost gram: the window alone has a say in that
     least = sliding_min((grams >> bits << bits) | place, length - gram + 1)
     anchor = (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
     np.add.at(valid, at[whole], 1)
@@ -86,7 +98,6 @@ def segment_rows(sequences: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]],
     return rows
 
 
-
 def keyed(docs: DataFrame, **more) -> DataFrame:
     """doc_id, th (a hash of the text, so that rows which share a doc_id are kept apart), text (null as empty) and more."""
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
@@ -99,15 +110,39 @@ def _zip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.set_column(at, "text", zipped(batch.column("text")))
 
 
+def matched(rows: DataFrame, table: DataFrame, keys: list[str], n: str) -> DataFrame:
+    """rows with the columns of table, which has each of the keys once and the number `n` of their rows: an inner join.
+
+    The HOT most common keys are broadcast, so that none takes many rows to one task.
+    """
+    more = F.struct(*(c for c in table.columns if c not in keys))
+    top = table.orderBy(F.desc(n), *keys).limit(HOT)
+    found = rows.join(F.broadcast(top.select(*keys, more.alias("_hot"))), keys, "left")
+    # rows that are found already go anywhere
+    found = found.withColumn("_spread", F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(1 + F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 30))).cast("int"))
+    rest = table.join(F.broadcast(top.select(*keys)), keys, "left_anti").select(*keys, F.lit(0).alias("_spread"), more.alias("_rest"))
+    found = found.join(rest.hint("shuffle_hash"), [*keys, "_spread"], "left").withColumn("_more", F.coalesce("_hot", "_rest"))
+    return found.where("_more is not null").select(*rows.columns, "_more.*")
+
+
 def with_lists(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
-    """docs (of keyed(); their texts compressed) with the list `segs` of the struct `seg` of rows of the same doc_id and th."""
+    """docs (of keyed(); their texts compressed) with the list `segs` of the different structs `seg` of rows of the same doc_id and th."""
     kinds = ", ".join(f"`{f.name}` {'binary' if f.name == 'text' else struct_type(docs, f.name)}" for f in docs.schema.fields)
     docs = docs.mapInArrow(_zip, kinds)
-    lists = rows.groupBy("doc_id", "th").agg(F.collect_list("seg").alias("segs")).withColumnsRenamed({"doc_id": "d", "th": "t"})
+    lists = rows.groupBy("doc_id", "th").agg(F.collect_set("seg").alias("segs")).withColumnsRenamed({"doc_id": "d", "th": "t"})
     same = (docs["th"] == lists["t"]) & docs["doc_id"].eqNullSafe(lists["d"])
     return docs.join(lists.hint("shuffle_hash"), same, how).drop("d", "t")
 
 
+def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows that share doc_id and th, which have the same segments, the first of a task."""
+    seen: set[tuple] = set()
+    for batch in batches:
+        keys = list(zip(batch.column("doc_id").to_pylist(), batch.column("th").to_pylist(), strict=True))
+        fresh = [k not in seen and not seen.add(k) for k in keys]
+        yield batch if all(fresh) else batch.filter(pa.array(fresh, pa.bool_()))
+
+
 def struct_type(df: DataFrame, column: str) -> str:
     return quoted(df.schema[column].dataType)
 
@@ -125,7 +160,7 @@ def each_window(sequences: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]],
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in once(batches):
             symbols, at = sequences(pa.array(unzipped(batch.column("text")), pa.large_binary()))
             lists = batch.column("segs")
             seg, owner = lists.flatten(), np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))

@@ -1,7 +1,9 @@
 import random
+import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillon.llm import suffix_dedup as S
 from quillon.llm import windows
@@ -64,6 +66,54 @@ def test_remove_repeats_equals_brute_force(spark, seed, crowd):
         assert out[i]["segs"] == "mine"
 
 
+def by_words(texts, length):
+    """Spans of the words that a window of `length` words covers which starts twice."""
+    found = [[(m.start(), m.end(), m[0]) for m in re.finditer(rb"[^\x20\x09-\x0D]+", t)] for t in texts]
+    seen = {}
+    for i, words in enumerate(found):
+        for p in range(len(words) - length + 1):
+            seen.setdefault(tuple(w for *_, w in words[p : p + length]), []).append((i, p))
+    gone = [np.zeros(len(w), bool) for w in found]
+    for places in seen.values():
+        if len(places) > 1:
+            for i, p in places:
+                gone[i][p : p + length] = True
+    return [[(words[x][0], words[y - 1][1], words[y][0] if y < len(words) else len(t)) for x, y in zip(*S.runs(g), strict=True)] for t, words, g in zip(texts, found, gone, strict=True)]
+
+
+@pytest.mark.parametrize(("seed", "crowd"), [(0, 10**6), (1, 2)])
+def test_passages_equal_brute_force(spark, seed, crowd):
+    texts = [None if t is None else t.replace("a", "\n" if i % 3 else "\t ") for i, t in enumerate(corpus(seed))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    raw = [(t or "").encode() for t in texts]
+    want = by_words(raw, 12)
+    assert sum(map(len, want)) > 10
+    for cut in (False, True):
+        out = {r["doc_id"]: r for r in S.remove_repeats(df, length=60, gram=8, crowd=crowd, passage=12, cut_passages=cut).collect()}
+        for i, gone in enumerate(brute(raw, 60)):
+            assert [(s["start"], s["end"]) for s in out[i]["passages"]] == [(x, y) for x, y, _ in want[i]], i
+            for x, _, y in want[i] if cut else ():
+                gone[x:y] = True
+            assert out[i]["kept"] == bytes(np.frombuffer(raw[i], np.uint8)[~gone]), i
+
+
+def test_many_repeated_rows(spark):
+    """The work goes with the rows, not with their square."""
+    text = " ".join(f"w{i * i % 9973}" for i in range(700))
+    df = spark.createDataFrame([(None, text)] * 3000 + [(1, text[:3000])] * 2 + [(2, "alone " + text[100:300])], "doc_id long, text string")
+    out = {(r["doc_id"], len(r["kept"]), len(r["spans"])): r["n"] for r in S.remove_repeats(df).groupBy("doc_id", "kept", "spans").agg(F.count("*").alias("n")).collect()}
+    assert out == {(None, 0, 1): 3000, (1, 0, 1): 2, (2, 206, 0): 1}
+
+
+def test_word_codes():
+    texts = [b" ".join(b"%d" % (i % n) for i in range(3 * n)) for n in (3, 255, 256, 300)]
+    for t in texts:
+        (codes,), width = S.word_codes([t])
+        assert width == (1 if len(set(t.split())) <= 255 else 2) and 255 not in codes
+        own = [codes[i : i + width] for i in range(0, len(codes), width)]
+        assert len(own) == len(t.split()) and len(set(zip(own, t.split(), strict=True))) == len(set(own)) == len(set(t.split()))
+
+
 def test_empty_table_and_repeated_rows(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert S.remove_repeats(empty).collect() == []
