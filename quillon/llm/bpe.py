@@ -9,7 +9,8 @@
 3. A block's ids are put together by position.
 4. Decoding looks each id up in the table of token bytes, which is of fixed size and broadcast.
 
-A null text counts as empty and has no ids. Rows stay apart whatever their doc_id. Only doc_id is carried along.
+A null text counts as empty and has no ids. Rows stay apart whatever their doc_id. Only doc_id and `position`, a
+number, are carried along.
 """
 
 from __future__ import annotations
@@ -33,7 +34,9 @@ from .common import gathered, parts, small_batches, trim, written
 
 #: Bytes of text in a block, about.
 BLOCK = 8 << 20
-PACKED = "block long, part int, doc_ids array<long>, sizes array<int>, codes binary, words binary"
+PACKED = "block long, part int, doc_ids array<long>, positions array<long>, sizes array<int>, codes binary, words binary"
+#: Bytes of input for each part of the words, about; words that a task remembers the ids of.
+PART, KNOWN = 64 << 20, 1_000_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -71,7 +74,7 @@ def _blocks(pattern: str, n_parts: int, words: bool):
                 # blocks with one number have the same words, in one order
                 block = int.from_bytes(hashlib.blake2b(repr([listed, rank.tobytes()]).encode(), digest_size=8).digest(), "little", signed=True)
                 if not words:
-                    yield pa.RecordBatch.from_pylist([{"block": block, "part": -1, "doc_ids": batch.column("doc_id").to_pylist(), "sizes": [len(x) for x in runs], "codes": pack(rank[codes])}], _PACKED)
+                    yield pa.RecordBatch.from_pylist([{"block": block, "part": -1, "doc_ids": batch.column("doc_id").to_pylist(), "positions": batch.column("position").to_pylist(), "sizes": [len(x) for x in runs], "codes": pack(rank[codes])}], _PACKED)
                     continue
                 part = np.array([zlib.crc32(w) % n_parts for w in listed], np.int32)
                 order, out = by[np.argsort(part[by], kind="stable")], []
@@ -83,7 +86,7 @@ def _blocks(pattern: str, n_parts: int, words: bool):
     return rows
 
 
-_PACKED = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("codes", pa.binary()), ("words", pa.binary())])
+_PACKED = pa.schema([("block", pa.int64()), ("part", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("positions", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("codes", pa.binary()), ("words", pa.binary())])
 _ENCODINGS: dict[int, tiktoken.Encoding] = {}
 
 
@@ -106,11 +109,13 @@ def _encode_words(sent):
                     word = words[at : at + n]
                     own = known.get(word)
                     if own is None:
+                        if len(known) >= KNOWN:
+                            known.clear()
                         own = known[word] = encode(word)
                     ids += own
                     counts.append(len(own))
                     at += n
-                yield pa.RecordBatch.from_pylist([{"block": row["block"], "part": row["part"], "doc_ids": None, "sizes": None, "codes": row["codes"], "words": pack(np.array([*counts, *ids]))}], _PACKED)
+                yield pa.RecordBatch.from_pylist([{"block": row["block"], "part": row["part"], "doc_ids": None, "positions": None, "sizes": None, "codes": row["codes"], "words": pack(np.array([*counts, *ids]))}], _PACKED)
 
     return rows
 
@@ -147,9 +152,9 @@ def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 start[codes] = base + np.cumsum(n) - n
                 base += len(ids)
             flat = np.concatenate([ids for _, _, ids in found]) if found else np.zeros(0, "<u4")
-            codes, doc_ids, ends = unpack(row["codes"]), batch.column("doc_ids")[i].values, np.cumsum(batch.column("sizes")[i].values.to_numpy())
+            codes, doc_ids, positions, ends = unpack(row["codes"]), batch.column("doc_ids")[i].values, batch.column("positions")[i].values, np.cumsum(batch.column("sizes")[i].values.to_numpy())
             if len(codes) and int(codes.max()) >= size:
-                raise RuntimeError("the input's rows came in another order when they were read again")
+                raise RuntimeError("a file changed while it was read")
             at = 0
             while at < len(ends):  # some texts at a time
                 low = ends[at - 1] if at else 0
@@ -159,31 +164,52 @@ def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ids, cuts = gather(flat, start[own], n), np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], ends[at:to] - low])]
                 raw = ids.tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [doc_ids[at:to], pa.array(np.diff(cuts), pa.int64()), pa.array([raw[4 * x : 4 * y] for x, y in zip(cuts, cuts[1:], strict=False)], pa.binary())],
-                    names=["doc_id", "n_tokens", "ids"],
+                    [doc_ids[at:to], positions[at:to], pa.array(np.diff(cuts), pa.int64()), pa.array([raw[4 * x : 4 * y] for x, y in zip(cuts, cuts[1:], strict=False)], pa.binary())],
+                    names=["doc_id", "position", "n_tokens", "ids"],
                 )
                 at = to
     trim()
 
 
+ENCODED = "doc_id long, position long, n_tokens long, ids binary"
+
+
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
-    """doc_id, n_tokens and ids (unsigned 32-bit, little-endian) for each row of docs (doc_id, text)."""
-    return _together(docs, ranks, pattern).mapInArrow(_assemble, "doc_id long, n_tokens long, ids binary")
+    """doc_id, position (if docs have it), n_tokens and ids (unsigned 32-bit, little-endian) for each row of docs (doc_id, text)."""
+    out = _together(docs, ranks, pattern).mapInArrow(_assemble, ENCODED)
+    return out if "position" in docs.columns else out.drop("position")
+
+
+_IN_ORDER = {"AdaptiveSparkPlan", "ColumnarToRow", "FileScan", "Filter", "InputAdapter", "LocalTableScan", "Project", "WholeStageCodegen"}
+
+
+def comes_again(docs: DataFrame) -> bool:
+    """Whether docs, read twice, is sure to give the same rows in the same order and batches: a plain scan of files."""
+    run = docs._jdf.queryExecution()
+    nodes = re.findall(r"^[^A-Za-z]*([A-Za-z]+)", run.executedPlan().toString(), re.MULTILINE)
+    return set(nodes) <= _IN_ORDER and run.optimizedPlan().deterministic()
+
+
+def part_count(docs: DataFrame) -> int:
+    """Parts of the words: in proportion to the files that are read, the session's shuffle partitions at least."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return least if size >= 1 << 60 else max(least, -(-size // PART))  # an unknown size is told as the largest number
 
 
 def _together(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     """Each block's ids, part by part, and then its positions."""
     spark = docs.sparkSession
     small_batches(spark)
-    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    plan = docs._jdf.queryExecution().executedPlan().toString()
-    if re.search(r"Exchange|Python|InArrow|InPandas|\bSample|InMemoryTableScan|\brand", plan):
-        rows = written(rows, "bpe-texts")  # the texts are read twice, and must come in the same order
+    position = docs["position"] if "position" in docs.columns else F.lit(None)
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), position.cast("long").alias("position"), docs["text"].cast("string").alias("text"))
+    if not comes_again(rows):
+        rows = written(rows, "bpe-texts")  # the texts are read twice
+    n_parts = part_count(rows)
     sent = spark.sparkContext.broadcast(ranks)  # of fixed size
     packed = lambda words: rows.mapInArrow(_blocks(pattern, n_parts, words), PACKED)
-    ids = packed(True).repartition("part").mapInArrow(_encode_words(sent), PACKED)
-    return ids.unionByName(packed(False)).repartition("block").sortWithinPartitions("block", F.desc("part"))
+    ids = packed(True).repartition(n_parts, "part").mapInArrow(_encode_words(sent), PACKED)
+    return ids.unionByName(packed(False)).repartition(n_parts, "block").sortWithinPartitions("block", F.desc("part"))
 
 
 def token_bytes(spark: SparkSession, ranks: dict[bytes, int]):
@@ -220,6 +246,7 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids and decoded: encode() and decode() in one Python worker of a task."""
+    """doc_id, position (if docs have it), n_tokens, ids and decoded: encode() and decode() in one Python worker of a task."""
     decoded = _decoded(token_bytes(docs.sparkSession, ranks))
-    return _together(docs, ranks, pattern).mapInArrow(lambda batches: decoded(_assemble(batches)), "doc_id long, n_tokens long, ids binary, decoded binary")
+    out = _together(docs, ranks, pattern).mapInArrow(lambda batches: decoded(_assemble(batches)), f"{ENCODED}, decoded binary")
+    return out if "position" in docs.columns else out.drop("position")

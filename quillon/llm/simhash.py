@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from .common import parts, unzipped, written, zipped
 from .components import components
 from .textvec import mixed
+from .windows import matched
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
 #: Distinct fingerprints in a BK-tree at most.
@@ -172,40 +173,18 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     tops = components(links(distinct.select("fp"), radius, crowd))
     placed = distinct.join(tops, distinct["fp"] == tops["node"], "left").select("fp", "least", F.coalesce("top", "fp").alias("top"))
-    least = placed.groupBy("top").agg(F.min("least").alias("component_id"))
-    classes = placed.join(least, "top").select("fp", "component_id")
+    placed = written(placed, "simhash-placed")
+    least = written(placed.groupBy("top").agg(F.min("least").alias("component_id"), F.count("*").alias("n")), "simhash-least")
+    classes = matched(placed.select("fp", "top"), least, ["top"], "n").select("fp", "component_id")
     return prints.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Wide fingerprints: their 64-bit words, the shingle's words, and the least similarity of two shingle sets (Jaccard's, as estimated).
-WIDE, WIDE_SHINGLE, SIMILARITY = 16, 5, 0.8
-#: Wide fingerprints in a BK-tree at most; more are compared in arrays.
-TREE = 48
+#: The shingle's words, and the least similarity of two shingle sets (Jaccard's).
+WIDE_SHINGLE, SIMILARITY = 5, 0.8
 #: Bands of a set, and least hashes of a band; shingles of a shard's sets, about.
 BANDS, ROWS, SHINGLES = 24, 4, 4_000_000
 
 
-def wide_fingerprint(text: bytes, shingle: int = WIDE_SHINGLE, words: int = WIDE, seed: int = SEED) -> bytes:
-    """64 * words bits: each the majority of a bit of the shingles' hashes, which are drawn out from 64 bits each."""
-    found = text.lower().split()
-    h = xxhash.xxh64_intdigest
-    hashes = {h(s, seed) for s in map(b" ".join, zip(*(found[i:] for i in range(shingle)), strict=False))} if len(found) > shingle else {h(b" ".join(found), seed)}
-    drawn = mixed(np.fromiter(hashes, np.uint64, len(hashes))[:, None] + _STEPS[:words])
-    ones = np.zeros(64 * words, np.int64)
-    for i in range(0, len(drawn), 255):  # sums that fit a byte are much faster
-        ones += np.unpackbits(drawn[i : i + 255].view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
-    return np.packbits(2 * ones > len(drawn), bitorder="little").tobytes()
-
-
-_STEPS = np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-
-
-def most_bits(similarity: float, bits: int) -> int:
-    """The bits by which fingerprints of sets of that Jaccard similarity differ, as expected for sets of about one size."""
-    cosine = 2 * similarity / (1 + similarity)
-    return int(bits * np.arccos(cosine) / np.pi)
-
-
 def shingles(text: bytes, shingle: int = WIDE_SHINGLE, seed: int = SEED) -> np.ndarray:
     """The set of a text's shingles: their hashes, in order. A text without a whole one is its own."""
     found = text.lower().split()
@@ -231,27 +210,7 @@ def _set_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = [shingles(x) for x in batch.column("text").cast(pa.binary()).to_pylist()]
         fp = pa.array([xxhash.xxh3_64_intdigest(x.tobytes()) - (1 << 63) for x in sets], pa.int64())
         keys = pa.array([bands(x) for x in sets], pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), fp, pa.array([len(x) for x in sets], pa.int64()), keys, zipped(batch.column("text"))], names=["doc_id", "fp", "n", "keys", "zip"])
-
-
-def wide_forest(prints: list[bytes], radius: int) -> list[tuple[int, int]]:
-    """Links (numbers of prints) that join whatever is within the radius, directly or by way of others."""
-    if len(prints) <= TREE:
-        values = [int.from_bytes(x, "little") for x in prints]
-        place = {v: i for i, v in enumerate(values)}
-        return [(place[a], place[b]) for a, b in forest(values, radius)]
-    rows = np.frombuffer(b"".join(prints), np.uint64).reshape(len(prints), -1)
-    left, out, todo = np.arange(1, len(rows)), [], [0]
-    # breadth first: each row that was reached is compared with those that were not
-    while len(left):
-        at = todo.pop() if todo else None
-        if at is None:
-            at, left = int(left[0]), left[1:]
-        near = np.bitwise_count(rows[left] ^ rows[at]).sum(axis=1) <= radius
-        out += [(at, int(j)) for j in left[near]]
-        todo += left[near].tolist()
-        left = left[~near]
-    return out
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), fp, pa.array([len(x) for x in sets], pa.int64()), keys, zipped(batch.column("text"))], names=["doc_id", "th", "fp", "n", "keys", "zip"])
 
 
 def set_forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
@@ -306,16 +265,17 @@ def _set_shards(similarity: float):
 
 
 def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, crowd: int = SHINGLES) -> DataFrame:
-    """doc_id and component_id of texts whose sets of five-word shingles are similar, directly or by way of others.
+    """doc_id, th (a hash of the text), component_id and `first` of texts whose sets of five-word shingles are similar, directly or by way of others.
 
     Sets are compared, exactly, where they have all the least hashes of a band in common, whatever the size of the
     corpus: of pairs right at 0.8 all but (1 - 0.8 ** ROWS) ** BANDS meet, three in a million. A shard of over
-    `crowd` shingles is cut into parts, and each two parts meet in a task.
+    `crowd` shingles is cut into parts, and each two parts meet in a task. `first` is true of the text with the
+    component's smallest doc_id (of several that share it, of the one with the smallest th).
     """
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
-    prints = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text.alias("text")).mapInArrow(_set_prints, "doc_id long, fp long, n long, keys array<long>, zip binary")
+    prints = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(_set_prints, "doc_id long, th long, fp long, n long, keys array<long>, zip binary")
     prints = written(prints, "simhash-sets")
-    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("keys").alias("keys")), "simhash-distinct")
+    distinct = written(prints.groupBy("fp").agg(F.min(F.struct("doc_id", "th")).alias("least"), F.first("n").alias("n"), F.first("keys").alias("keys")), "simhash-distinct")
     keyed = distinct.select("fp", "n", F.explode("keys").alias("key"))
     # near copies share most of their bands: of shards with the same members one is enough
     members = [F.bit_xor(F.xxhash64("fp", F.lit(i))).alias(f"m{i}") for i in range(2)]
@@ -330,12 +290,22 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, crowd: int =
     shards = cells.join(texts, "fp").repartition("key").sortWithinPartitions("key", "fp")
     tops = components(shards.mapInArrow(_set_shards(similarity), "a long, b long"))
     placed = distinct.join(tops, distinct["fp"] == tops["node"], "left").select("fp", "least", F.coalesce("top", "fp").alias("top"))
-    least = placed.groupBy("top").agg(F.min("least").alias("component_id"))
-    return prints.select("doc_id", "fp").join(placed.join(least, "top").select("fp", "component_id"), "fp").select("doc_id", "component_id")
+    placed = written(placed, "simhash-placed")
+    least = written(placed.groupBy("top").agg(F.min("least").alias("first"), F.count("*").alias("n")), "simhash-least")
+    classes = matched(placed.select("fp", "top"), least, ["top"], "n").select("fp", F.col("first").alias("least"))
+    found = prints.select("doc_id", "th", "fp").join(classes, "fp")
+    return found.select("doc_id", "th", F.col("least.doc_id").alias("component_id"), (F.struct("doc_id", "th") == F.col("least")).alias("first"))
 
 
 def keep_one(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """docs with one row of each component of groups (doc_id, component_id): one with the smallest doc_id. Rows without a doc_id stay."""
-    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi")
-    return named.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    """docs with one row of each component of groups: its first text or, of near_duplicates(), a row with its smallest doc_id.
+
+    Rows without a doc_id stay.
+    """
+    docs = docs.withColumn("_th", F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))))
+    if "first" in groups.columns:
+        kept, by = groups.where("first").select("doc_id", F.col("th").alias("_th")), ["doc_id", "_th"]
+    else:
+        kept, by = groups.where("doc_id = component_id").select("doc_id"), ["doc_id"]
+    named = docs.join(kept.distinct(), by, "left_semi").dropDuplicates(by).select(docs.columns)
+    return named.unionByName(docs.where("doc_id is null")).drop("_th")

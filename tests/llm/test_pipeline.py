@@ -4,30 +4,54 @@ import pytest
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 tiktoken = pytest.importorskip("tiktoken")
 
-from quillon.llm import bpe, mixing, quality_rules, simhash, suffix_dedup  # noqa: E402
+from quillon.llm import bpe, mixing, quality_rules  # noqa: E402
+from quillon.llm.common import scratch_path  # noqa: E402
 
-from .test_mixing import plan  # noqa: E402
-from .test_simhash import closed  # noqa: E402
-from .test_suffix import brute  # noqa: E402
+from .test_suffix import brute, by_words  # noqa: E402
 
 DATA = "/root/testdata/sf0.001"
 
 
+def kept_of_near_copies(texts):
+    """Of each group of texts whose sets of five-word shingles are 0.8 alike, directly or by way of others, the first."""
+    words = {d: t.lower().split() for d, t in texts.items()}
+    sets = {d: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for d, w in words.items()}
+    top = {d: d for d in texts}
+    for d, x in sets.items():
+        for e, y in sets.items():
+            if e < d and top[e] != top[d] and len(x & y) >= 0.8 * len(x | y):
+                low, high = sorted((top[e], top[d]))
+                top = {k: low if v == high else v for k, v in top.items()}
+    return [d for d in sorted(texts) if top[d] == d]
+
+
 def test_pipeline_equals_plain_version(spark):
     P = corpus_pipeline.public_tokenizers
-    docs = {r["doc_id"]: r for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
-    judged = quality_rules.judge(spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{DATA}/labels.parquet"))
-    kept = sorted(r["doc_id"] for r in judged.collect() if r["kept"])
-    prints = {d: int.from_bytes(simhash.wide_fingerprint(docs[d]["text"].encode()), "little") for d in kept}
-    top = closed(sorted(set(prints.values())), simhash.most_bits(0.8, 1024))
-    kept = [d for d in kept if d == min(e for e in kept if top[prints[e]] == top[prints[d]])]
+    rows = spark.read.parquet(f"{DATA}/documents.parquet")
+    docs = {r["doc_id"]: r for r in rows.collect()}
+    judged = quality_rules.judge(rows.select("doc_id", "text"), spark.read.parquet(f"{DATA}/labels.parquet"))
+    kept = kept_of_near_copies({r["doc_id"]: docs[r["doc_id"]]["text"] for r in judged.collect() if r["kept"]})
     texts = [docs[d]["text"].encode() for d in kept]
-    gone = brute(texts, suffix_dedup.LENGTH)
+    gone = brute(texts, 400)
+    for g, spans in zip(gone, by_words(texts, 50), strict=True):
+        for x, _, y in spans:
+            g[x:y] = True
     left = {d: bytes(np.frombuffer(t, np.uint8)[~g]).decode("utf-8", "ignore") for d, t, g in zip(kept, texts, gone, strict=True)}
     own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.load_ranks(P.path("byte_bpe_50k.tiktoken")), special_tokens={})
-    got = {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in corpus_pipeline.run(spark, DATA).collect()}
-    assert got == {d: own.encode_ordinary(t) for d, t in left.items()}
-    assert len(got) < len(docs) and plan and mixing
+    out = corpus_pipeline.run(spark, DATA).collect()
+    assert {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in out} == {d: own.encode_ordinary(t) for d, t in left.items()}
+    assert len(out) == len(left) < len(docs)
+    # the order of the mixing stage is in the result
+    placed = mixing.placed(spark.createDataFrame([(d, docs[d]["source"]) for d in kept], "doc_id long, source string")).collect()
+    assert [r["doc_id"] for r in sorted(out, key=lambda r: r["position"])] == [r["doc_id"] for r in sorted(placed, key=lambda r: r["position"])]
+
+
+def test_positions_follow_part_files(spark):
+    path = scratch_path(spark, "order")
+    spark.range(4000).selectExpr("id as doc_id").repartitionByRange(7, "doc_id").sortWithinPartitions("doc_id").write.option("maxRecordsPerFile", 90).parquet(path)
+    got = corpus_pipeline.in_order(spark.read.parquet(path)).orderBy("position").collect()
+    assert [r["doc_id"] for r in got] == list(range(4000))
+    assert corpus_pipeline.in_order(spark.range(2)).where("position is null").count() == 2
 
 
 def test_stages_return_the_columns_of_documents(spark):

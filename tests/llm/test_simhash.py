@@ -105,29 +105,10 @@ def test_similar_groups(spark):
         first.setdefault(g, d)
     assert all(first[dict((r[0], r[1]) for r in rows)[d]] <= c for d, c in group.items())
     missed = [jaccard(t, rows[first[g]][2]) for d, g, t in rows if g >= 0 and group[d] != first[g]]
-    assert all(j < 0.85 for j in missed), missed
+    assert all(j < 0.8 for j in missed), missed
     assert group[n + 51] == n + 50 and len({group[n + i] for i in range(50)}) == 50
 
 
-def test_wide_forest_is_exact():
-    rng = random.Random(6)
-    base = [rng.getrandbits(1024) for _ in range(6)]
-    values = []
-    for i in range(140):
-        v = base[i % 6]
-        for _ in range(rng.randint(0, 20)):
-            v ^= 1 << rng.randrange(1024)
-        values.append(v)
-    prints = [v.to_bytes(128, "little") for v in values]
-    for some in (prints, prints[:40]):
-        top = list(range(len(some)))
-        for i, j in S.wide_forest(some, 24):
-            a, b = top[i], top[j]
-            top = [min(a, b) if t in (a, b) else t for t in top]
-        want = closed(values[: len(some)], 24)
-        assert len(set(top)) == len({want[v] for v in values[: len(some)]})
-
-
 def shifted(rng, words, share):
     """words with runs replaced, so that about `share` of the five-word shingles of either are common."""
     own = list(words)
