@@ -23,7 +23,7 @@ from .functions.values import Rule, holds, rule
 from .operators import keys
 from .plans.accessor import SAME
 from .plans.selection import ROW, Selection, Table
-from .sources.store import Conflict, Manifest, Store, change_schema, folded, read
+from .sources.store import CHANGE, Conflict, Manifest, Store, change_schema, folded, read
 
 EXPIRE = "expire"
 #: Versions since the base after which a commit writes a new base.
@@ -225,12 +225,12 @@ class Collection:
         rows = self.frame()
         if path is None:
             base = f"{self.store.root}/base-{uuid.uuid4().hex}"
-            rows.write.parquet(base)
+            self._blooms(rows.write).parquet(base)
             self._redefine(base=base, base_commit=self.manifest.version)
             return base
         other = Store(self.spark, path)
         base = f"{other.root}/base-{uuid.uuid4().hex}"
-        rows.write.parquet(base)
+        self._blooms(rows.write).parquet(base)
         other.publish(replace(self.manifest, version=max([0, *other.versions()]) + 1, base=base, base_commit=self.manifest.version, changes=[]))
         return base
 
@@ -239,19 +239,23 @@ class Collection:
         other = Store(self.spark, path).load()
         if {c: k["type"] for c, k in other.kinds.items()} != {c: k["type"] for c, k in self.manifest.kinds.items()}:
             raise ValueError("the snapshot has other columns")
-        self._redefine(base=other.base, base_commit=self.manifest.version + 1, changes=[], next_row=max(other.next_row, self.manifest.next_row), applied={**self.manifest.applied, "snapshot": other.base_commit})
+        base = f"{self.store.root}/base-{uuid.uuid4().hex}"  # of its own: the snapshot may be deleted
+        self._blooms(self.spark.read.parquet(other.base).write).parquet(base)
+        self._redefine(base=base, base_commit=self.manifest.version + 1, changes=[], next_row=max(other.next_row, self.manifest.next_row), applied={**self.manifest.applied, "snapshot": other.base_commit})
         if changes is not None:
             self.replay(changes, "snapshot")
 
-    def changes(self, since: int = 0) -> DataFrame:
-        """The change log: commit_id, row_id, chunk, op, written, row; from commits after `since`."""
+    def _blooms(self, writer, prefix: str = ""):
+        """Files with a Bloom filter of the key, so that a look-up by key leaves out what can't hold it."""
+        return writer if self.key is None else writer.option(f"parquet.bloom.filter.enabled#{prefix}{self.key}", "true")
+
+    def changes(self, since: int = 0, until: int | None = None) -> DataFrame:
+        """The change log: commit_id, row_id, chunk, op, written, row; from commits after `since`, up to `until`."""
         found = self.kinds
         schema = change_schema({c: k.type for c, k in found.items()})
-        paths = [c["path"] for c in self.manifest.changes if c["version"] > since]
-        if not paths:
-            return self.spark.createDataFrame([], schema.add("commit_id", T.LongType())).withColumn("chunk", (F.col(ROW) / 16384).cast("int"))
-        df = self.spark.read.schema(schema).option("basePath", f"{self.store.root}/changes").parquet(*paths)
-        return df.withColumn("commit_id", F.col("commit_id").cast("long")).withColumn("chunk", F.shiftright(ROW, 14).cast("int"))
+        paths = [c["path"] for c in self.manifest.changes if c["version"] > since and (until is None or c["version"] <= until)]
+        df = self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+        return df.withColumn("chunk", F.shiftright(ROW, 14).cast("int"))
 
     def replay(self, changes: DataFrame, source: str) -> int:
         """Apply another collection's changes (as changes() gives them), each commit once; the newest commit applied."""
@@ -275,12 +279,15 @@ class Collection:
         version = self.manifest.version + 1
         if version in self.store.versions():
             raise Conflict(f"version {version} is there already")
-        # under a name of its own until it is published, so that a rival's files aren't touched
-        path = f"{self.store.root}/changes/commit_id={version}"
-        rows.write.mode("errorifexists").parquet(path)
+        path = f"{self.store.root}/changes/{version}-{uuid.uuid4().hex}"
+        self._blooms(rows.withColumn(CHANGE, F.lit(version).cast("long")).write, "row.").parquet(path)
         entry = {"version": version, "path": path, "bytes": self.store.size(path), "adds": adds}
         changed = replace(self.manifest, version=version, changes=[*self.manifest.changes, entry], next_row=next_row, applied=self.manifest.applied if applied is None else applied)
-        self.store.publish(changed)
+        try:
+            self.store.publish(changed)
+        except Conflict:
+            self.store.delete(path)
+            raise
         self.manifest = changed
         for append in self._sinks:
             append(self.changes(version - 1))
@@ -356,6 +363,7 @@ class Txn:
         self._rows: list[dict] = []
         self._frames: list[DataFrame] = []
         self._dropped: set[int] = set()
+        self._staged: list[str] = []
 
     def select(self) -> Bound:
         return Bound(self.table, None, self)
@@ -501,6 +509,7 @@ class Txn:
         for frame in self._frames:
             numbered = frame.withColumn("_n", F.monotonically_increasing_id())
             staged = f"{c.store.root}/_staged-{uuid.uuid4().hex}"
+            self._staged.append(staged)
             numbered.write.parquet(staged)  # once, so that the numbers stay
             numbered = spark.read.schema(numbered.schema).parquet(staged)
             part = F.shiftright("_n", 33)
@@ -523,6 +532,14 @@ class Txn:
         c = self.collection
         if c.manifest is not self.manifest and c.manifest.version != self.manifest.version:
             raise Conflict("the collection has a newer version")
+        try:
+            self._write_all()
+        finally:
+            for path in self._staged:
+                c.store.delete(path)
+
+    def _write_all(self) -> None:
+        c = self.collection
         rows = self._changes()
         added, next_row = self._added()
         if added is not None:
@@ -534,9 +551,6 @@ class Txn:
             adds = False
         if rows is not None:
             c._publish(rows, next_row, adds=adds)
-        for path in self.collection.store.fs.listStatus(self.collection.store._path(c.store.root)):
-            if path.getPath().getName().startswith("_staged-"):
-                c.store.fs.delete(path.getPath(), True)
 
     def _check_keys(self, added: DataFrame) -> None:
         key = self.collection.key

@@ -19,11 +19,6 @@ def ascending(df: DataFrame, column: str, distinct_keys: bool = False) -> DataFr
     return there.orderBy(F.col(column).asc(), F.col(ROW).asc())
 
 
-def ranked_copy(df: DataFrame, column: str, partitions: int) -> DataFrame:
-    """A copy laid out by the key: range-partitioned and sorted within, for repeated ordered reads."""
-    return df.where(F.col(column).isNotNull()).repartitionByRange(partitions, column).sortWithinPartitions(column, ROW)
-
-
 def top(df: DataFrame, column: str, n: int, descending: bool = False) -> DataFrame:
     key = F.col(column).desc() if descending else F.col(column).asc()
     return df.where(F.col(column).isNotNull()).orderBy(key, F.col(ROW).asc()).limit(n)

@@ -1,7 +1,8 @@
 """A versioned folder: a Parquet base, Parquet changes since, and a manifest for each version.
 
 A version is published by creating its manifest, which fails if another writer was first; readers see the
-newest manifest and nothing that isn't in it. All access goes through Hadoop's file systems.
+newest manifest and nothing that isn't in it. Files have names of their own, so that what a writer leaves that
+died before it published is in nobody's way. All access goes through Hadoop's file systems.
 """
 
 from __future__ import annotations
@@ -82,22 +83,18 @@ class Store:
             self.fs.delete(draft, False)
             raise Conflict(f"version {manifest.version} of {self.root}: {str(e)[:200]}") from None
 
+    def delete(self, path: str) -> None:
+        self.fs.delete(self._path(path), True)
+
     def size(self, path: str) -> int:
         at = self._path(path)
         return self.fs.getContentSummary(at).getLength() if self.fs.exists(at) else 0
 
-    def change_path(self, version: int) -> str:
-        """Where a version's changes are: a folder of its own, named so that CHANGE is a partition column."""
-        return f"{self.root}/changes/{CHANGE}={version}"
-
-    def drop(self, path: str) -> None:
-        self.fs.delete(self._path(path), True)
-
 
 def change_schema(kinds: dict[str, T.DataType]) -> T.StructType:
-    """A changed row: its id, insert, put or delete, the columns that were written, and their values."""
+    """A changed row: its id, insert, put or delete, the columns that were written, their values, and the commit."""
     head = [T.StructField(ROW, T.LongType()), T.StructField("op", T.StringType()), T.StructField("written", T.ArrayType(T.StringType()))]
-    return T.StructType([*head, T.StructField("row", T.StructType([T.StructField(c, t) for c, t in kinds.items()]))])
+    return T.StructType([*head, T.StructField("row", T.StructType([T.StructField(c, t) for c, t in kinds.items()])), T.StructField(CHANGE, T.LongType())])
 
 
 def folded(changes: DataFrame, columns: list[str], once: bool = False) -> DataFrame:
@@ -131,7 +128,7 @@ def read(store: Store, manifest: Manifest, kinds: dict[str, T.DataType]) -> Data
     since = [c for c in manifest.changes if c["version"] > manifest.base_commit]
     if not since:
         return base
-    files = lambda some: spark.read.schema(change_schema(kinds)).option("basePath", f"{store.root}/changes").parquet(*(c["path"] for c in some))
+    files = lambda some: spark.read.schema(change_schema(kinds)).parquet(*(c["path"] for c in some))
     # rows that were only added have ids of their own: no join
     adding, since = [c for c in since if c.get("adds")], [c for c in since if not c.get("adds")]
     if adding:

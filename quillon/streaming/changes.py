@@ -7,22 +7,12 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..collection import EXPIRE, Collection
 from ..plans.selection import ROW
-from ..sources.store import change_schema
-
-
-def change_stream(source: Collection, files_per_batch: int | None = None) -> DataFrame:
-    """The change log as a stream: commit_id, row_id, op, written, row. files_per_batch holds back a flood."""
-    schema = change_schema({c: k.type for c, k in source.kinds.items()}).add("commit_id", T.LongType())
-    reader = source.spark.readStream.schema(schema)
-    if files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(f"{source.store.root}/changes")
+from ..sources.store import CHANGE
 
 
 def _start(stream: DataFrame, act: Callable[[DataFrame, int], None], checkpoint: str, every: str | None) -> StreamingQuery:
@@ -30,23 +20,50 @@ def _start(stream: DataFrame, act: Callable[[DataFrame, int], None], checkpoint:
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
-def replicate(source: Collection, target: Collection, checkpoint: str, every: str | None = None) -> StreamingQuery:
-    """Keep target like source. A batch that comes again is skipped by its commit ids.
+def versions(source: Collection, per_batch: int | None = None) -> DataFrame:
+    """The versions of a collection, as they are published: version. per_batch holds back a flood."""
+    reader = source.spark.readStream.schema("version long")
+    if per_batch:
+        reader = reader.option("maxFilesPerTrigger", per_batch)
+    return reader.json(f"{source.store.root}/_versions")
+
+
+def change_stream(source: Collection, act: Callable[[DataFrame], None], checkpoint: str, every: str | None = None, per_batch: int | None = None) -> StreamingQuery:
+    """act gets the changes of published commits, each commit whole and once, as Collection.changes() has them."""
+
+    def told(batch: DataFrame, _: int) -> None:
+        new = [r[0] for r in batch.select("version").collect()]  # a row for each commit
+        if new:
+            reader = Collection(source.spark, source.store.root, create=False)
+            act(reader.changes(min(new) - 1, max(new)).where(F.col(CHANGE).isin(new)))
+
+    own = _start(versions(source, per_batch), told, checkpoint, every)
+    source._closing.append(own)
+    return own
 
-    Batches must bring commits in order: the file source reads oldest files first.
-    """
-    own = _start(change_stream(source), lambda batch, _: target.replay(batch, source.store.root) and None, checkpoint, every)
+
+def replicate(source: Collection, target: Collection, checkpoint: str, every: str | None = None, per_batch: int | None = None) -> StreamingQuery:
+    """Keep target like source. What a batch brings again is skipped by its commit ids, and what is due before it is applied first."""
+
+    def apply(batch: DataFrame, _: int) -> None:
+        newest = batch.agg(F.max("version")).first()[0]
+        if newest is not None:
+            done = target.manifest.applied.get(source.store.root, 0)
+            target.replay(Collection(source.spark, source.store.root, create=False).changes(done, newest), source.store.root)
+
+    own = _start(versions(source, per_batch), apply, checkpoint, every)
     target._closing.append(own)
     return own
 
 
 def on_change(source: Collection, column: str, act: Callable[[DataFrame], None], checkpoint: str, every: str | None = None) -> StreamingQuery:
     """act gets each batch of the column's changes: commit_id, row_id, op (put or delete), value."""
-    hit = change_stream(source).where(F.array_contains("written", column) | (F.col("op") == "delete"))
-    told = hit.select("commit_id", ROW, F.when(F.col("op") == "delete", "delete").otherwise("put").alias("op"), F.col("row").getField(column).alias("value"))
-    own = _start(told, lambda batch, _: act(batch), checkpoint, every)
-    source._closing.append(own)
-    return own
+
+    def told(changes: DataFrame) -> None:
+        hit = changes.where(F.array_contains("written", column) | (F.col("op") == "delete"))
+        act(hit.select(CHANGE, ROW, F.when(F.col("op") == "delete", "delete").otherwise("put").alias("op"), F.col("row").getField(column).alias("value")))
+
+    return change_stream(source, told, checkpoint, every)
 
 
 def sweep(collection: Collection, checkpoint: str, every: str = "1 second", now_ns: Callable[[], int] | None = None) -> StreamingQuery:
@@ -87,4 +104,4 @@ def running_merge(deltas: DataFrame, by: str, order: str, value: str, merge: Cal
     return deltas.groupBy(by).applyInPandasWithState(fold, f"{by} {types[by]}, {value} {kind}", f"now {kind}", "update", GroupStateTimeout.NoTimeout)
 
 
-__all__ = ["EXPIRE", "change_stream", "on_change", "replicate", "running_last", "running_merge", "running_sum", "sweep"]
+__all__ = ["EXPIRE", "change_stream", "on_change", "replicate", "running_last", "running_merge", "running_sum", "sweep", "versions"]

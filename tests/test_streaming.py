@@ -43,6 +43,20 @@ def test_replicate_in_steps(spark, pair, tmp_path):
     assert rows(target) == rows(source)
 
 
+def test_commits_are_streamed_whole_and_only_once_published(spark, pair, tmp_path):
+    source, target = pair
+    source.insert_many(spark.range(100).selectExpr("concat('p', id) as name", "id as n").repartition(4))
+    source.insert(name="last", n=1)
+    # a writer that died before it published
+    source.changes().withColumn("row_id", F.col("row_id") + 1000).withColumn("commit_id", F.lit(99).cast("long")).drop("chunk").write.parquet(f"{source.store.root}/changes/99-dead")
+    batches = []
+    run(S.change_stream(source, lambda df: batches.append(sorted(r[0] for r in df.groupBy("commit_id").count().collect())), f"{tmp_path}/seen", per_batch=1))
+    newest = source.manifest.version
+    assert sorted(x for b in batches for x in b) == [newest - 1, newest] and all(len(b) <= 1 for b in batches)
+    run(S.replicate(source, target, f"{tmp_path}/cp", per_batch=1))
+    assert len(rows(target)) == 101 and rows(target) == rows(source)
+
+
 def test_on_change(spark, pair, tmp_path):
     source, _ = pair
     told = []
