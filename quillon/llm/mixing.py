@@ -1,13 +1,15 @@
 """Mixing sources to target weights by Pfair scheduling, with DataFrame and SQL functions only.
 
-Each source's rows, in the order of a hash of doc_id, form blocks of `block` rows. Of every `period` slots a
-source gets c, its target weight in whole slots; its k-th block of a period may not come before
-floor(k * period / c) and not after ceil((k + 1) * period / c). One pass over a period's slots gives each to the
-released block with the earliest deadline (earliest deadline first meets all deadlines, as the c add up to the
-period), so that after any t slots each source with rows left has had c / period * t blocks, give or take less
-than one. The pass depends on the weights alone; later periods repeat it. Every row is placed, once. When a
-source has run out its slots stay empty, and the others go on in their order.
-
+Each source's rows, in the order of a hash of doc_id, form blocks of `block` rows. With w a source's share of the
+weights, its k-th block (from 0) may not come before slot floor(k / w) and not after ceil((k + 1) / w) - 1. One pass
+over the slots of the whole schedule gives each to the released block with the earliest deadline, which meets all
+deadlines, as the shares add up to one: after any t slots each source with rows left has had w * t blocks, give or
+take less than one. Shares are ratios of whole numbers and held exactly, so nothing drifts. Every row is placed,
+once. When a source has run out its slots stay empty, and the others go on in their order.
+
+The schedule has SLOTS slots at most: with very many rows blocks have more than `block` of them. The pass takes
+slots x sources steps in one task, so that some thousand sources are its limit; more ought to be grouped.
+A source of weight 0, or not among the weights given, gets nothing as long as others have rows: it comes last.
 A null source is a source of its own. A source's rows are numbered within buckets of the hash, so that no task
 has to hold a source. Rows that share a doc_id are placed next to each other.
 Input columns named `slot` or `position` give way.
@@ -15,66 +17,68 @@ Input columns named `slot` or `position` give way.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
 
-#: Rows of a block; slots that weights are rounded to; rows of a bucket, about.
-BLOCK, SLOTS, BUCKET = 64, 1000, 20_000
+#: Rows of a block at least; slots of a schedule at most, and what slots times sources may come to; rows of a bucket, about.
+BLOCK, SLOTS, STEPS, BUCKET = 64, 1 << 18, 1 << 22, 20_000
+#: Slots of a chunk of the pass, whose picks are added to one list.
+CHUNK = 512
 
 
-def shares(sources: DataFrame, weights: dict[str | None, float] | None, slots: int = SLOTS) -> DataFrame:
-    """source, c and period. sources: source, n. Without weights a source's is the root of its rows."""
+def shares(sources: DataFrame, weights: dict[str | None, float] | None) -> DataFrame:
+    """source, n and w, a whole number. sources: source, n. Without weights a source's is the root of its rows, to a thousandth."""
     if weights is None:
-        weight = F.sqrt(F.col("n").cast("double"))
-    else:
-        weight = F.lit(0.0)
-        for source, w in weights.items():
-            if w < 0:
-                raise ValueError(f"the weight of {source!r} is below 0")
-            weight = F.when(F.col("source").eqNullSafe(F.lit(source)), F.lit(float(w))).otherwise(weight)
-    whole = Window.partitionBy()  # over sources, not rows
-    weighed = sources.withColumn("w", weight)
-    c = F.greatest(F.lit(1), F.round(F.lit(slots) * F.col("w") / F.sum("w").over(whole))).cast("long")
-    return weighed.select("source", F.coalesce(c, F.lit(1).cast("long")).alias("c")).withColumn("period", F.sum("c").over(whole))
-
-
-def timetable(shared: DataFrame) -> DataFrame:
-    """source, c, period, j and slot, at most as many rows as a period has slots: the slot of a period at which the source's j-th block of the period comes."""
+        return sources.withColumn("w", F.greatest(F.lit(1), F.round(F.sqrt(F.col("n").cast("double")) * 1000)).cast("long"))
+    total = sum(weights.values())
+    weight = F.lit(0).cast("long")
+    for source, w in weights.items():
+        if not w >= 0:
+            raise ValueError(f"the weight of {source!r} is below 0")
+        # nine digits: over all slots less than a thousandth of a block
+        weight = F.when(F.col("source").eqNullSafe(F.lit(source)), F.lit(max(1, round(w / total * 10**9)) if w else 0).cast("long")).otherwise(weight)
+    return sources.withColumn("w", weight)
+
+
+def timetable(shared: DataFrame, total: int, slots: int) -> DataFrame:
+    """source, j and slot for each slot of the schedule: that of the source's j-th block. shared: source and w above 0, which add up to total."""
     # in the order of names, null first
-    one = shared.groupBy().agg(F.array_sort(F.collect_list(F.struct("source", "c"))).alias("all"), F.first("period").alias("period"))
-    one = one.select("all", "period", F.transform("all", lambda x: x["c"]).alias("cs"))
-    step = """
-        aggregate(
-            sequence(cast(0 as bigint), period - 1),
-            named_struct('k', transform(cs, c -> cast(0 as bigint)), 'picks', cast(array() as array<int>)),
-            (state, t) -> transform(
-                array(array_min(filter(
-                    transform(cs, (c, i) -> named_struct('deadline', ((state.k[i] + 1) * period + c - 1) div c, 'i', i, 'release', (state.k[i] * period) div c, 'c', c, 'k', state.k[i])),
-                    b -> b.release <= t and b.k < b.c
-                )).i),
-                pick -> named_struct('k', transform(state.k, (k, i) -> k + if(i <=> pick, 1L, 0L)), 'picks', array_append(state.picks, pick))
-            )[0],
-            state -> state.picks
-        )
-    """
-    picked = one.where("period > 0").select("all", "period", F.posexplode(F.expr(step)).alias("slot", "pick")).where("pick is not null")
-    rows = picked.select(F.expr("all[pick].source").alias("source"), F.expr("all[pick].c").alias("c"), "period", "pick", F.col("slot").cast("long").alias("slot"))
+    one = shared.groupBy().agg(F.array_sort(F.collect_list(F.struct("source", "w"))).alias("all"))
+    one = one.select("all", F.transform("all", lambda x: x["w"]).alias("ws"))
+    start = "named_struct('k', transform(ws, w -> cast(0 as bigint)), 'picks', cast(array() as array<{}>))"
+    pick = f"""array_min(filter(
+        transform(ws, (w, i) -> named_struct('deadline', ((state.k[i] + 1) * {total} + w - 1) div w, 'i', i, 'release', (state.k[i] * {total}) div w)),
+        b -> b.release <= t)).i"""
+    after = "named_struct('k', transform(state.k, (k, i) -> k + if(i = pick, 1L, 0L)), 'picks', array_append(state.picks, pick))"
+    # lists are copied when they grow: so chunk by chunk
+    chunk = f"""aggregate(sequence(c * {CHUNK}L, least((c + 1) * {CHUNK}L, {slots}L) - 1), named_struct('k', done.k, 'picks', cast(array() as array<int>)),
+        (state, t) -> transform(array({pick}), pick -> {after})[0])"""
+    step = f"""flatten(aggregate(sequence(0L, {-(-slots // CHUNK)}L - 1), {start.format("array<int>")},
+        (done, c) -> transform(array({chunk}), own -> named_struct('k', own.k, 'picks', array_append(done.picks, own.picks)))[0], done -> done.picks))"""
+    picked = one.where("size(all) > 0").select("all", F.posexplode(F.expr(step)).alias("slot", "pick"))
+    rows = picked.select(F.expr("all[pick].source").alias("source"), "pick", F.col("slot").cast("long").alias("slot"))
     return rows.withColumn("j", F.row_number().over(Window.partitionBy("pick").orderBy("slot")).cast("long") - 1).drop("pick")
 
 
 def _place(rows: DataFrame, weights: dict[str | None, float] | None, block: int, slots: int, bucket: int) -> DataFrame:
     """rows (doc_id, source and, where rows are to be carried along, `row`) with slot and position."""
-    sources = written(rows.groupBy("source").agg(F.count("*").alias("n")), "mixing-sources")
-    total = sources.agg(F.sum("n")).first()[0] or 0
+    sources = written(shares(rows.groupBy("source").agg(F.count("*").alias("n")), weights), "mixing-sources")
+    weighed = sources.where("w > 0")
+    whole = weighed.agg(F.sum("w").alias("w"), F.count("*").alias("m"), F.max(F.col("n") / F.col("w")).alias("most")).first()
+    count, total, m = sources.agg(F.sum("n")).first()[0] or 0, whole["w"] or 0, whole["m"]
+    if m:
+        block = max(block, math.ceil(whole["most"] * total / min(slots, max(STEPS // m, 4 * m))))
+    blocks = F.ceil(F.col("n") / block).cast("long")
+    end = weighed.agg(F.max(F.expr(f"(ceil(n / {block}) * {total} + w - 1) div w"))).first()[0] or 0
     digits = 1
-    while 16**digits * bucket < total:
+    while 16**digits * bucket < count:
         digits += 1
     # as a key that is never null, so that the joins need no other partitioning than the windows
     key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
-    # its rows are bounded by the slots of a period
-    times = F.broadcast(timetable(shares(sources, weights, slots)).select(key.alias("key"), "c", "period", F.col("j").alias("turn"), "slot"))
     h = F.coalesce(F.md5(F.col("doc_id").cast("string")), F.lit(""))
     rows = rows.withColumns({"key": key, "h": h, "bucket": F.substring(h, 1, digits)})
     sizes = rows.groupBy("key", "bucket").agg(F.count("*").alias("n"))
@@ -82,11 +86,16 @@ def _place(rows: DataFrame, weights: dict[str | None, float] | None, block: int,
     starts = sizes.select("key", "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     own = Window.partitionBy("key", "bucket").orderBy("h", "doc_id")
     ranked = rows.withColumn("rank", F.row_number().over(own).cast("long") - 1).drop("h").join(starts, ["key", "bucket"])
-    at = ranked.withColumn("at", F.col("before") + F.col("rank")).withColumns({"block": F.expr(f"at div {block}"), "rest": F.expr(f"at % {block}")})
-    counts = F.broadcast(times.where("turn = 0").select("key", "c", "period"))
-    at = at.join(counts, "key").withColumn("turn", F.expr("block % c"))
-    out = at.join(times.select("key", "turn", "slot"), ["key", "turn"])
-    slot = F.expr("(block div c) * period + slot")
+    at = ranked.withColumn("at", F.col("before") + F.col("rank")).withColumns({"j": F.expr(f"at div {block}"), "rest": F.expr(f"at % {block}")})
+    if end:
+        # a row for each slot
+        at = at.join(F.broadcast(timetable(weighed.select("source", "w"), total, end).select(key.alias("key"), "j", "slot")), ["key", "j"], "left")
+    else:
+        at = at.withColumn("slot", F.lit(None).cast("long"))
+    last = Window.partitionBy().orderBy(F.col("source").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)  # over sources
+    tails = sources.where("w = 0").select(key.alias("key"), (F.lit(end) + F.coalesce(F.sum(blocks).over(last), F.lit(0))).alias("tail"))
+    slot = F.coalesce(F.col("slot"), F.col("tail") + F.col("j"))
+    out = at.join(tails, "key", "left") if weights is not None else at.withColumn("tail", F.lit(None).cast("long"))
     return out.select("doc_id", "source", slot.alias("slot"), (slot * block + F.col("rest")).alias("position"), *(c for c in out.columns if c == "row"))
 
 
@@ -105,21 +114,25 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block:
 
 
 ORACLE = f"""
-with recursive sources as (select source, count(*) as n from documents group by source),
-shared as (select source, cast(greatest(1, round({SLOTS} * sqrt(n) / (select sum(sqrt(n)) from sources))) as bigint) as c from sources),
-fixed as (select list(c order by source nulls first) as cs, list(source order by source nulls first) as names, cast(sum(c) as bigint) as period, count(*) as m from shared),
+with recursive shared as (select source, count(*) as n, cast(greatest(1, round(sqrt(count(*)) * 1000)) as bigint) as w from documents group by source),
+whole as (select cast(sum(w) as bigint) as total, count(*) as m, max(n / w) as most from shared),
+sized as (select total, m, cast(greatest({BLOCK}, ceil(most * total / least({SLOTS}, greatest({STEPS} // m, 4 * m)))) as bigint) as size from whole),
+fixed as (
+  select list(w order by source nulls first) as ws, list(source order by source nulls first) as names, any_value(total) as total, any_value(m) as m, any_value(size) as size,
+    max((cast(ceil(n / size) as bigint) * total + w - 1) // w) as slots
+  from shared, sized
+),
 sched(t, k, pick) as (
-  select cast(-1 as bigint), list_transform(cs, lambda c: cast(0 as bigint)), cast(0 as bigint) from fixed
+  select cast(-1 as bigint), list_transform(ws, lambda w: cast(0 as bigint)), cast(0 as bigint) from fixed
   union all
   select t + 1, list_transform(range(1, m + 1), lambda i: k[i] + case when i = chosen then 1 else 0 end), chosen
-  from (select t, k, m, period, list_min(list_filter(list_transform(range(1, m + 1),
-            lambda i: case when (k[i] * period) // cs[i] <= t + 1 and k[i] < cs[i] then (((k[i] + 1) * period + cs[i] - 1) // cs[i]) * 1000000 + i end),
+  from (select t, k, m, list_min(list_filter(list_transform(range(1, m + 1),
+            lambda i: case when (k[i] * total) // ws[i] <= t + 1 then (((k[i] + 1) * total + ws[i] - 1) // ws[i]) * 1000000 + i end),
           lambda x: x is not null)) % 1000000 as chosen
-        from sched, fixed where t + 1 < period)
+        from sched, fixed where t + 1 < slots)
 ),
-times as (select names[pick] as source, cs[pick] as c, period, t as slot, row_number() over (partition by pick order by t) - 1 as j from sched, fixed where t >= 0 and pick is not null),
+times as (select names[pick] as source, t as slot, row_number() over (partition by pick order by t) - 1 as j from sched, fixed where t >= 0),
 ranked as (select doc_id, source, row_number() over (partition by source order by coalesce(md5(cast(doc_id as varchar)), ''), doc_id) - 1 as at from documents)
-select r.doc_id, r.source, cast((r.at // {BLOCK} // t.c) * t.period + t.slot as bigint) as slot,
-  cast(((r.at // {BLOCK} // t.c) * t.period + t.slot) * {BLOCK} + r.at % {BLOCK} as bigint) as position
-from ranked r join times t on r.source is not distinct from t.source and (r.at // {BLOCK}) % t.c = t.j
+select r.doc_id, r.source, cast(t.slot as bigint) as slot, cast(t.slot * size + r.at % size as bigint) as position
+from ranked r join fixed on true join times t on r.source is not distinct from t.source and r.at // size = t.j
 """
