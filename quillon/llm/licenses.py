@@ -1,11 +1,12 @@
 """Licence scans: a trained paragraph classifier, confirmed by comparison with templates.
 
-A paragraph is a line, in pieces of PIECE words at most. Hashed single words and word pairs feed a multinomial
-logistic regression over the licence families and `unknown`. It is trained on the driver on notices (TEMPLATES)
-that are cut, joined and disturbed, and, as `unknown`, on made-up prose, prose about licences, and a bounded
-sample of the corpus (PIECES pieces of SAMPLE documents). A held-out part sets the temperature at which the class probabilities
-are calibrated. Neighbouring pieces of one family are one finding; it is confirmed if it shares enough word
-triples with one of the family's templates, or the template with it.
+A paragraph is a line, in overlapping pieces of PIECE words (in long lines also of SHORT words). Hashed single words
+and word pairs feed a multinomial logistic regression over the licence families and `unknown`. It is trained on the
+driver on notices and paragraphs of licences (KNOWN) that are cut, joined, disturbed and put into long lines, and, as
+`unknown`, on made-up prose, prose about licences, and a bounded sample of the corpus (PIECES pieces of SAMPLE
+documents). A held-out part sets the temperature at which the class probabilities are calibrated. Neighbouring and
+overlapping pieces of one family are one finding; it is confirmed if it shares enough word triples with one of the
+family's templates, or the template with it.
 
 A null or empty text has no paragraphs and no finding. Rows stay apart whatever their doc_id.
 """
@@ -26,6 +27,8 @@ from .textvec import LOWER, Texts, mixed
 
 #: Words of a piece; documents sampled for `unknown`, and pieces of theirs; least probability of a family; least share of common triples.
 PIECE, SAMPLE, PIECES, LEAST, ALIKE = 40, 400, 4000, 0.5, 0.6
+#: Words of the smaller pieces of a line, for short notices in its midst.
+SHORT = 12
 BITS = 15
 UNKNOWN = "unknown"
 
@@ -102,6 +105,36 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "Copyright. All rights reserved. No part of this publication may be reproduced without the prior written permission of the publisher.",
     ),
 }
+# Paragraphs of public licences.
+BODIES: dict[str, tuple[str, ...]] = {
+    "MIT": (
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ),
+    "Apache-2.0": (
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+        "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form.",
+        "You must give any other recipients of the Work or Derivative Works a copy of this License; and You must cause any modified files to carry prominent notices stating that You changed the files.",
+    ),
+    "GPL": (
+        "The GNU General Public License is a free, copyleft license for software and other kinds of works.",
+        "The licenses for most software and other practical works are designed to take away your freedom to share and change the works. By contrast, the GNU General Public License is intended to guarantee your freedom to share and change all versions of a program--to make sure it remains free software for all its users.",
+        "When we speak of free software, we are referring to freedom, not price. Our General Public Licenses are designed to make sure that you have the freedom to distribute copies of free software (and charge for them if you wish), that you receive source code or can get it if you want it, that you can change the software or use pieces of it in new free programs, and that you know you can do these things.",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    ),
+    "LGPL": ("This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",),
+    "BSD": (
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES",
+    ),
+    "EPL": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/.",
+        "SPDX-License-Identifier: EPL-2.0",
+        "THE ACCOMPANYING PROGRAM IS PROVIDED UNDER THE TERMS OF THIS ECLIPSE PUBLIC LICENSE (\"AGREEMENT\"). ANY USE, REPRODUCTION OR DISTRIBUTION OF THE PROGRAM CONSTITUTES RECIPIENT'S ACCEPTANCE OF THIS AGREEMENT.",
+    ),
+}
+KNOWN: dict[str, tuple[str, ...]] = {f: TEMPLATES.get(f, ()) + BODIES.get(f, ()) for f in [*TEMPLATES, *(f for f in BODIES if f not in TEMPLATES)]}
 # Prose that has the words but is no notice.
 NEAR = (
     "he lost his driving license on the way to the station and had to apply for a new one",
@@ -164,9 +197,17 @@ def pieces(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     new = np.ones(len(t.start), bool)
     new[1:] = (line[1:] != line[:-1]) | (text[1:] != text[:-1])
     first = np.flatnonzero(new)
-    place = np.arange(len(new)) - first[np.cumsum(new) - 1]
-    start = np.flatnonzero(place % PIECE == 0)
-    return text[start], start, np.append(start[1:], len(new)) if len(start) else start
+    line = np.cumsum(new) - 1
+    place = np.arange(len(new)) - first[line]
+    size = np.diff(np.append(first, len(new)))[line]
+    found = []
+    for width in (PIECE, SHORT):
+        # half overlapping, until one reaches the line's end
+        start = np.flatnonzero((place % (width // 2) == 0) & ((place == 0) | (place + width - width // 2 < size)))
+        if width == SHORT:
+            start = start[size[start] > PIECE]
+        found.append((text[start], start, start + np.minimum(width, size[start] - place[start])))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def triples(words: list[bytes]) -> frozenset:
@@ -186,9 +227,10 @@ def likeness(words: list[bytes], templates: list[frozenset]) -> float:
 def training_rows(sample: list[str], seed: int = 3, copies: int = 60) -> tuple[list[str], list[str]]:
     rng = np.random.default_rng(seed)
     texts, labels = [], []
+    prose = [w for text in sample[:50] for w in text.split()[:2000]]
     letters = list("etaoinshrdluüéç")
     noise = lambda n: " ".join("".join(rng.choice(letters, rng.integers(2, 9))) for _ in range(n))
-    for family, notices in TEMPLATES.items():
+    for family, notices in KNOWN.items():
         for notice in notices:
             words = notice.split()
             for i in range(copies):
@@ -203,9 +245,15 @@ def training_rows(sample: list[str], seed: int = 3, copies: int = 60) -> tuple[l
                     own = [*noise(rng.integers(1, 4)).split(), *own]
                 if i % 4 == 2:
                     own = [*own, *noise(rng.integers(1, 4)).split()]
+                width = PIECE if i % 10 == 4 else SHORT
+                if i % 5 == 4 and len(own) < width:  # a piece of a long line
+                    at = int(rng.integers(0, max(1, len(prose) - width)))
+                    around = prose[at : at + width - len(own)] if prose and i % 4 else noise(width - len(own)).split()
+                    cut = int(rng.integers(0, len(around) + 1))
+                    own = [*around[:cut], *own, *around[cut:]]
                 texts.append(" ".join(own))
                 labels.append(family)
-    known = [triples(_words(n)) for notices in TEMPLATES.values() for n in notices]
+    known = [triples(_words(n)) for notices in KNOWN.values() for n in notices]
     for text in [*NEAR * 30, *(noise(rng.integers(1, PIECE)) for _ in range(1500))]:
         texts.append(text)
         labels.append(UNKNOWN)
@@ -223,7 +271,7 @@ def training_rows(sample: list[str], seed: int = 3, copies: int = 60) -> tuple[l
 def fit(sample: list[str], steps: int = 150, rate: float = 1.0, decay: float = 3e-7) -> Model:
     """Trained on four fifths of the rows; the others calibrate the temperature."""
     texts, labels = training_rows(sample)
-    families = [*TEMPLATES, UNKNOWN]
+    families = [*KNOWN, UNKNOWN]
     y = np.array([families.index(f) for f in labels])
     t = Folded(pa.array(texts))
     rows, cols, vals = [], [], []
@@ -262,7 +310,7 @@ def fit(sample: list[str], steps: int = 150, rate: float = 1.0, decay: float = 3
     temperature = min(np.geomspace(0.5, 8, 25), key=cost)
     weights = np.zeros((2 << BITS, len(families)), np.float32)
     weights[used] = w
-    return Model(families, weights, b, float(temperature), {f: [triples(_words(x)) for x in notices] for f, notices in TEMPLATES.items()})
+    return Model(families, weights, b, float(temperature), {f: [triples(_words(x)) for x in notices] for f, notices in KNOWN.items()})
 
 
 FOUND = "found array<struct<start: int, end: int, family: string, probability: double, likeness: double, confirmed: boolean>>"
@@ -283,12 +331,14 @@ def _scan(sent, least: float, alike: float):
                     p = model.probabilities(t, start, end)
                     best = p.argmax(axis=1)
                     hit = np.flatnonzero((best != none) & (p[np.arange(len(p)), best] >= least))
+                    hit = hit[np.lexsort((start[hit], best[hit], text[hit]))]
                     i = 0
                     while i < len(hit):
-                        j = i
-                        while j + 1 < len(hit) and hit[j + 1] == hit[j] + 1 and text[hit[j + 1]] == text[hit[i]] and best[hit[j + 1]] == best[hit[i]]:
+                        j, z = i, int(end[hit[i]])
+                        while j + 1 < len(hit) and text[hit[j + 1]] == text[hit[i]] and best[hit[j + 1]] == best[hit[i]] and start[hit[j + 1]] <= z:
                             j += 1
-                        a, z, doc, family = int(start[hit[i]]), int(end[hit[j]]), int(text[hit[i]]), model.families[best[hit[i]]]
+                            z = max(z, int(end[hit[j]]))
+                        a, doc, family = int(start[hit[i]]), int(text[hit[i]]), model.families[best[hit[i]]]
                         x, y = int(t.start[a]), int(t.end[z - 1])
                         like = likeness(t.data[x:y].tobytes().split(), model.triples[family])
                         found[doc].append({"start": x - int(t.at[doc]), "end": y - int(t.at[doc]), "family": family, "probability": float(p[hit[i : j + 1], best[hit[i]]].max()), "likeness": like, "confirmed": like >= alike})

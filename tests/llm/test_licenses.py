@@ -37,3 +37,23 @@ def test_spans_families_and_edges(spark):
     one = next(r for r in L.scan(df).collect() if r["doc_id"] == 1)["found"][0]
     assert rows[0][1][one["start"] : one["end"]] == "Released under the MIT License"
     assert L.scan(df.limit(0)).collect() == []
+
+
+def test_paragraphs_of_licences_and_notices_in_long_lines(spark):
+    cases = {
+        "MIT": "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
+        "BSD": "3. Neither the name of Example Corp nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "Apache-2.0": "2. Grant of Copyright License. Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display the Work.",
+        "GPL": "The licenses for most software are designed to take away your freedom to share and change it. By contrast, the GNU General Public License is intended to guarantee your freedom to share and change free software--to make sure the software is free for all its users.",
+        "EPL": "All rights to this program and the accompanying materials are made available under the terms of the Eclipse Public License v2.0 which accompanies this distribution.",
+    }
+    rows = [(n, f, t) for n, (f, t) in enumerate(cases.items())]
+    rows += [(n + 10, f, re.sub(r"((?:\S+ ){11}\S+) ", r"\1\n", t)) for n, f, t in rows]
+    plain = " ".join(["the river was low that year and nobody in the village could remember when it last froze"] * 12)
+    words = plain.split()
+    for n, at in enumerate((0, 18, 20, 38, 100, len(words))):  # at a cut, across one, in the midst and at the end
+        rows.append((20 + n, "MIT", " ".join([*words[:at], "Released under the MIT License.", *words[at:]])))
+    rows.append((30, None, plain))
+    df = spark.createDataFrame([(n, t) for n, _, t in rows], "doc_id long, text string").unionByName(spark.read.parquet(f"{DATA}/documents.parquet").selectExpr("doc_id + 1000 as doc_id", "text"))
+    got = {r["doc_id"]: {x["family"] for x in r["found"] if x["confirmed"]} for r in L.scan(df).where("doc_id < 1000").collect()}
+    assert {n: f for n, f, _ in rows if f not in got[n] and f} == {} and got[30] == set(), got
