@@ -120,7 +120,9 @@ def matched(rows: DataFrame, table: DataFrame, keys: list[str], n: str) -> DataF
     found = rows.join(F.broadcast(top.select(*keys, more.alias("_hot"))), keys, "left")
     # rows that are found already go anywhere
     found = found.withColumn("_spread", F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(1 + F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 30))).cast("int"))
-    rest = table.join(F.broadcast(top.select(*keys)), keys, "left_anti").select(*keys, F.lit(0).alias("_spread"), more.alias("_rest"))
+    # zero, but no constant: one would be moved out of the join's keys, and found rows would go to their key's task all the same
+    zero = F.pmod(F.xxhash64(*keys), F.lit(1)).cast("int")
+    rest = table.join(F.broadcast(top.select(*keys)), keys, "left_anti").select(*keys, zero.alias("_spread"), more.alias("_rest"))
     found = found.join(rest.hint("shuffle_hash"), [*keys, "_spread"], "left").withColumn("_more", F.coalesce("_hot", "_rest"))
     return found.where("_more is not null").select(*rows.columns, "_more.*")
 

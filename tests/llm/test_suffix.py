@@ -127,3 +127,24 @@ def test_sliding_min():
     for n, w in ((10, 3), (40, 17), (64, 64), (5, 9), (33, 1)):
         key = rng.integers(0, 99, n).astype(np.uint64)
         assert windows.sliding_min(key, w).tolist() == [key[i : i + w].min() for i in range(n - w + 1)]
+
+
+def test_common_keys_are_spread(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(windows, "HOT", 3)
+    rows = spark.range(8000).select(F.when(F.col("id") < 6000, 0).otherwise(F.col("id") % 500).alias("k"), "id")
+    rows.write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    rows.where("k != 7").groupBy("k").agg(F.count("*").alias("copies")).write.parquet(str(tmp_path / "table"))
+    table = spark.read.parquet(str(tmp_path / "table"))
+    out = windows.matched(rows, table, ["k"], "copies")
+    assert sorted(map(tuple, out.select("id", "copies").collect())) == sorted(map(tuple, rows.join(table, "k").select("id", "copies").collect()))
+    plan = spark._jvm.PythonSQLUtils.explainString(out._jdf.queryExecution(), "simple")
+    dealt = re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", plan)
+    assert len(dealt) == 2 and all("_spread" in x for x in dealt), plan
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesce, "false")
+    try:
+        most = max(r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect())
+    finally:
+        spark.conf.unset(coalesce)
+    assert most < 3000, most  # of 8,000, of which 6,000 have one key
