@@ -46,11 +46,13 @@ def _words(text: np.ndarray) -> np.ndarray:
     return out
 
 
-def direct_sort(text: np.ndarray, words: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
+def direct_sort(text: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
     """The suffixes `at`, in the order of their first `depth` bytes."""
     if len(at) <= LISTED:
-        whole = text.tobytes().decode("latin-1") + "\xff" * depth
-        return np.array(sorted(at.tolist(), key=lambda i: whole[i : i + depth]), np.int64)
+        whole = text.tobytes() + b"\xff" * depth
+        keys = [whole[i:j] for i, j in zip(at.tolist(), (at + depth).tolist(), strict=True)]
+        return at[sorted(range(len(keys)), key=keys.__getitem__)]
+    words = _words(text)
     order, group = at, np.zeros(len(at), np.int64)
     out, open_ = at.copy(), np.arange(len(at))
     for d in range(0, depth, 8):
@@ -82,13 +84,10 @@ def two_stage(text: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.ndar
     rises = step[np.minimum.accumulate(decides[::-1])[::-1]] > 0  # smaller than its successor
     # beside the starts, the order of a falling suffix needs those that follow it, up to the next rising one
     next_rise = np.minimum.accumulate(np.where(rises, np.arange(n), n - 1)[::-1])[::-1]
-    needed = np.zeros(n + 1, np.int32)
     where = np.flatnonzero(starts)
-    np.add.at(needed, where, 1)
-    np.add.at(needed, next_rise[where] + 1, -1)
-    needed = np.cumsum(needed[:-1]) > 0
-    words = _words(text)
-    direct = direct_sort(text, words, np.flatnonzero(needed & rises), depth)
+    needed = starts.astype(np.int64) - np.bincount(next_rise[where] + 1, minlength=n + 1)[:n]
+    needed = np.cumsum(needed) > 0
+    direct = direct_sort(text, np.flatnonzero(needed & rises), depth)
     falls = np.append(needed & ~rises, False)  # place -1 is the last
     edges = np.searchsorted(text[direct], np.arange(257))
     arrived: dict[int, list[np.ndarray]] = {}
@@ -114,23 +113,24 @@ def two_stage(text: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.ndar
                 arrived.setdefault(int(text[part[0]]), []).append(part)
     order = np.concatenate(order) if order else direct
     order = order[starts[order]]
-    return order, adjacent_prefixes(words, order, depth)
+    return order, adjacent_prefixes(text, order, depth)
 
 
-def adjacent_prefixes(words: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
+def adjacent_prefixes(text: np.ndarray, order: np.ndarray, depth: int, step: int = 64, most: int = 1 << 16) -> np.ndarray:
+    """How many bytes, up to depth, each suffix of order shares with the one before it; `most` at a time."""
     common = np.zeros(len(order), np.int32)
-    open_ = np.arange(1, len(order))
-    for d in range(0, depth, 8):
-        x, y = order[open_] + d, order[open_ - 1] + d
-        inside = np.maximum(x, y) < len(words)
-        open_, x, y = open_[inside], x[inside], y[inside]
-        differ = words[x] ^ words[y]
-        ends = differ != 0
-        if ends.any():
-            lead = 63 - np.floor(np.log2(differ[ends].astype(np.float64))).astype(np.int64)
-            common[open_[ends]] = d + np.maximum(lead, 0) // 8
-        open_ = open_[~ends]
-        common[open_] = d + 8
+    rows = np.lib.stride_tricks.sliding_window_view(np.concatenate([text, np.zeros(depth + step, np.uint8)]), step)
+    for low in range(1, len(order), most):
+        open_ = np.arange(low, min(low + most, len(order)))
+        for d in range(0, depth, step):
+            differ = rows[order[open_] + d] != rows[order[open_ - 1] + d]
+            first = differ.argmax(1)
+            same = ~differ[np.arange(len(open_)), first]
+            common[open_] = d + np.where(same, step, first)
+            open_ = open_[same]
+            if not len(open_):
+                break
+    common[1:] = np.minimum(common[1:], len(text) - np.maximum(order[1:], order[:-1]))
     return np.minimum(common, depth)
 
 

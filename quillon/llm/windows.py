@@ -22,6 +22,10 @@ from .textvec import _BYTES, Rolling, Texts, buffers, mixed
 SEGMENTS = "doc_id long, th long, mh long, sh long, a int, n int"
 #: Keys of a join that are broadcast: the most common ones. Any other has a thousandth of the rows at most.
 HOT = 1000
+#: Bytes of text that are cut into segments at once: their arrays, eight bytes and more for each, fit a core's cache.
+PART = 1 << 16
+#: Segments of an Arrow batch, about.
+ROWS = 5000
 
 
 def byte_symbols(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -87,13 +91,20 @@ def segment_rows(sequences: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]],
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in parts(whole):
+            held, size = [], 0
+            for batch in parts(whole, most=PART):
                 found = segments(*sequences(batch.column("text")), length, gram)
                 seq = pa.array(found["seq"])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(seq), batch.column("th").take(seq), pa.array(found["mh"], pa.int64()), pa.array(found["sh"], pa.int64()), pa.array(found["a"], pa.int32()), pa.array(found["n"], pa.int32())],
-                    names=["doc_id", "th", "mh", "sh", "a", "n"],
-                )
+                held.append([batch.column("doc_id").take(seq), batch.column("th").take(seq), *(pa.array(found[k], t) for k, t in (("mh", pa.int64()), ("sh", pa.int64()), ("a", pa.int32()), ("n", pa.int32())))])
+                size += len(seq)
+                if size >= ROWS:
+                    yield joined(held)
+                    held, size = [], 0
+            if size:
+                yield joined(held)
+
+    def joined(held: list[list[pa.Array]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*held, strict=True)], names=["doc_id", "th", "mh", "sh", "a", "n"])
 
     return rows
 
