@@ -16,8 +16,10 @@ doc_id. Input columns named `kept`, `spans` or `passages` give way to the result
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -136,8 +138,8 @@ def adjacent_prefixes(text: np.ndarray, order: np.ndarray, depth: int, step: int
 
 def word_codes(texts: list[bytes]) -> tuple[list[bytes], int]:
     """Each text's words as numbers of one width in bytes (the same number for the same word), none of them the byte 255; and the width."""
-    number: dict[bytes, int] = {}
-    found = [np.array([number.setdefault(w, len(number)) for w in x.split()], np.int64) for x in texts]
+    number: dict[bytes, int] = defaultdict(count().__next__)
+    found = [np.fromiter(map(number.__getitem__, x.split()), np.int64) for x in texts]
     width = 1
     while 255**width < len(number):
         width += 1
