@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .functions import kinds as K
-from .functions.kinds import Kind, MergeRule
+from .functions.kinds import Codec, Kind, MergeRule
 from .functions.values import Rule, holds, rule
 from .operators import keys
 from .plans.accessor import SAME
@@ -34,6 +34,7 @@ class Collection:
     def __init__(self, spark: SparkSession, path: str, strict: bool = False, create: bool = True, compact: int = COMPACT):
         self.spark, self.store, self.strict, self.compact = spark, Store(spark, path), strict, compact
         self.merges: dict[str, MergeRule] = {}  # functions aren't stored: give them again after opening
+        self.codecs: dict[str, Codec] = {}  # likewise
         self.rules: dict[str, tuple[str, Rule]] = {}
         self.triggers: dict[str, tuple[str, Callable[[DataFrame], None]]] = {}
         self._closing: list = []
@@ -50,7 +51,7 @@ class Collection:
 
     @property
     def kinds(self) -> dict[str, Kind]:
-        return {c: K.kind(k["name"], self.merges.get(c), T._parse_datatype_json_string(k["type"])) for c, k in self.manifest.kinds.items()}
+        return {c: K.kind(k["name"], self.merges.get(c), T._parse_datatype_json_string(k["type"]), self.codecs.get(c)) for c, k in self.manifest.kinds.items()}
 
     @property
     def key(self) -> str | None:
@@ -98,9 +99,13 @@ class Collection:
         if kind.name == "key" and self.key is not None:
             raise ValueError("there is a key already")
         known = K.kind(kind.name, type=kind.type)
+        stored = {"name": kind.name, "type": kind.type.json()}
         if kind.merge is not None and kind.merge is not known.merge:
             self.merges[name] = kind.merge
-        self._redefine(kinds={**self.manifest.kinds, name: {"name": kind.name, "type": kind.type.json()}})
+            stored["own_merge"] = True
+        if kind.codec is not None:
+            self.codecs[name] = kind.codec
+        self._redefine(kinds={**self.manifest.kinds, name: stored})
 
     def create_columns_of(self, sample: dict) -> None:
         """Columns whose kinds come from sample values."""
@@ -112,6 +117,7 @@ class Collection:
         if name == EXPIRE or name not in self.manifest.kinds:
             return
         self.merges.pop(name, None)
+        self.codecs.pop(name, None)
         self.rules = {n: x for n, x in self.rules.items() if x[0] != name}
         self._redefine(
             kinds={c: k for c, k in self.manifest.kinds.items() if c != name},
@@ -320,7 +326,8 @@ class Bound(Selection):
 
     def merge(self, **deltas) -> Bound:
         for c, d in deltas.items():
-            if self.txn.collection.kinds[c].merge is not None:
+            if self.txn._kind(c).merge is not None:
+                self.txn._has_rule(c)
                 self.txn._write(holds(self.condition), c, lambda old, kind, d=d: kind.merged(old, d if isinstance(d, Column) else _literal(d, kind)))
         return self
 
@@ -340,12 +347,12 @@ class Bound(Selection):
 
 def _literal(value, kind: Kind) -> Column:
     if value is None:
-        return F.lit(None).cast(kind.type)
-    if isinstance(kind.type, T.StructType) and isinstance(value, dict):
-        unknown = set(value) - set(kind.type.names)
+        return F.lit(None).cast(kind.given)
+    if isinstance(kind.given, T.StructType) and isinstance(value, dict):
+        unknown = set(value) - set(kind.given.names)
         if unknown:
             raise ValueError(f"no such fields: {sorted(unknown)}")
-        return F.struct(*(F.lit(value.get(f.name)).cast(f.dataType).alias(f.name) for f in kind.type.fields)).cast(kind.type)
+        return F.struct(*(F.lit(value.get(f.name)).cast(f.dataType).alias(f.name) for f in kind.given.fields)).cast(kind.given)
     if isinstance(value, bytes):
         value = bytearray(value)
     return F.lit(value)
@@ -377,6 +384,11 @@ class Txn:
             raise ValueError(f"no column {column}")
         return found
 
+    def _has_rule(self, column: str) -> None:
+        own = self.collection
+        if own.manifest.kinds[column].get("own_merge") and column not in own.merges:
+            raise ValueError(f"the merge rule of {column} isn't stored: set it in `merges` after opening")
+
     def _write(self, on: Column, column: str, value: Callable[[Column, Kind], Column]) -> None:
         kind = self._kind(column)
         old = self._new.get(column, F.col(column))
@@ -501,7 +513,7 @@ class Txn:
             rows = None
             for group in {tuple(sorted(r)): None for r in self._rows}:
                 own = [(self.manifest.next_row + i, r) for i, r in enumerate(self._rows) if tuple(sorted(r)) == group]
-                schema = T.StructType([T.StructField(ROW, T.LongType()), *(T.StructField(n, found[n].type) for n in group)])
+                schema = T.StructType([T.StructField(ROW, T.LongType()), *(T.StructField(n, found[n].given) for n in group)])
                 df = spark.createDataFrame([(i, *(_plain(r[n], found[n]) for n in group)) for i, r in own], schema)
                 df = self._as_inserts(df, list(group))
                 rows = df if rows is None else rows.unionByName(df)
@@ -583,8 +595,7 @@ class Row:
 
     def get(self, column: str):
         """The value, None where there is none."""
-        self._txn._kind(column)
-        found = self._at.select(column).first()
+        found = self._at.select(self._txn._kind(column).loaded(F.col(column)).alias("value")).first()
         return None if found is None else found[0]
 
     def _must_be(self) -> None:

@@ -15,6 +15,29 @@ from pyspark.sql import types as T
 MergeRule = Callable[[Column, Column], Column]
 
 
+@dataclass(frozen=True)
+class Codec:
+    """Records as bytes of a format of one's own. `type` is what is written and read, encode and decode are expressions.
+
+    Null stays null: neither function sees one.
+    """
+
+    type: T.DataType
+    encode: Callable[[Column], Column]
+    decode: Callable[[Column], Column]
+
+
+def json_codec(type: T.DataType) -> Codec:
+    return Codec(type, lambda value: F.to_json(value).cast("binary"), lambda stored: F.from_json(stored.cast("string"), type))
+
+
+def python_codec(type: T.DataType, to_bytes: Callable[[object], bytes], from_bytes: Callable[[bytes], object]) -> Codec:
+    """A codec of Python functions, run over Arrow batches: for formats that no built-in function knows."""
+    encode = F.udf(lambda v: None if v is None else to_bytes(v), T.BinaryType(), useArrow=True)
+    decode = F.udf(lambda b: None if b is None else from_bytes(bytes(b)), type, useArrow=True)
+    return Codec(type, encode, decode)
+
+
 @dataclass(frozen=True)
 class Kind:
     name: str
@@ -22,6 +45,14 @@ class Kind:
     merge: MergeRule | None = None
     low: int | None = None
     high: int | None = None
+    codec: Codec | None = None
+    #: Applied to what is stored, after the cast: a check or another form of the value.
+    store: Callable[[Column], Column] | None = None
+
+    @property
+    def given(self) -> T.DataType:
+        """The type of values as they are written and read."""
+        return self.type if self.codec is None else self.codec.type
 
     @property
     def numeric(self) -> bool:
@@ -33,7 +64,12 @@ class Kind:
 
     def stored(self, value: Column) -> Column:
         """value as this kind stores it; out of range is an error."""
+        if self.codec is not None:
+            value = value.cast(self.codec.type)
+            return F.when(value.isNotNull(), self.codec.encode(value)).cast(self.type)
         cast = value.cast(self.type)
+        if self.store is not None:
+            return self.store(cast).cast(self.type)
         if self.name == "bool":
             return F.coalesce(cast, F.lit(False))
         if self.low is None:
@@ -41,8 +77,12 @@ class Kind:
         outside = (cast < F.lit(decimal.Decimal(self.low)).cast(self.type)) | (cast > F.lit(decimal.Decimal(self.high)).cast(self.type))
         return F.when(outside, F.raise_error(F.concat(F.lit(f"out of range for {self.name}: "), value.cast("string"))).cast(self.type)).otherwise(cast)
 
+    def loaded(self, value: Column) -> Column:
+        """A stored value as it was given."""
+        return value if self.codec is None else F.when(value.isNotNull(), self.codec.decode(value))
+
     def merged(self, value: Column, delta: Column) -> Column:
-        return value if self.merge is None else self.stored(self.merge(value, delta))
+        return value if self.merge is None else self.stored(self.merge(self.loaded(value), delta))
 
 
 def add(value: Column, delta: Column) -> Column:
@@ -75,10 +115,20 @@ KINDS: dict[str, Kind] = {name: Kind(name, kind, add, low, high) for name, (kind
 }
 
 
-def kind(name: str, merge: MergeRule | None = None, type: T.DataType | None = None) -> Kind:
-    """A kind by name; `record` takes a type (a struct, or binary). merge replaces the kind's own rule."""
+def register(own: Kind) -> Kind:
+    """A kind of one's own, known by its name from now on. A process that opens a collection with it registers it, too."""
+    if own.name == "record" or KINDS.get(own.name, own) != own:
+        raise ValueError(f"{own.name} is taken")
+    KINDS[own.name] = own
+    return own
+
+
+def kind(name: str, merge: MergeRule | None = None, type: T.DataType | None = None, codec: Codec | None = None) -> Kind:
+    """A kind by name; `record` takes a type (a struct, or binary) or a codec. merge replaces the kind's own rule."""
     if name == "record":
-        found = Kind("record", type or T.BinaryType(), overwrite)
+        found = Kind("record", T.BinaryType() if codec else type or T.BinaryType(), overwrite, codec=codec)
+    elif codec is not None:
+        raise ValueError("only a record has a codec")
     elif name in KINDS:
         found = KINDS[name] if type is None else replace(KINDS[name], type=type)
     else:

@@ -22,13 +22,13 @@ class Accessor:
 
     def get(self) -> Column:
         """The value, null where there is none."""
-        return F.col(self.name)
+        return self.kind.loaded(F.col(self.name))
 
     def has(self) -> Column:
         return F.col(self.name).isNotNull()
 
     def rows(self) -> DataFrame:
-        return self.selection.select("row_id", self.name)
+        return self.selection.select("row_id", self.get().alias(self.name))
 
     def sum(self):
         return self.selection.sum(self.name)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .collection import EXPIRE, Collection
-from .functions.kinds import kind
+from .functions.kinds import Kind, json_codec, kind, register
 from .functions.values import python
 from .queries import nations, stored
 from .sources.files import from_json, from_rows
@@ -223,6 +223,35 @@ def merge_record(spark, d):
     return c.select().select("n_nationkey", F.col("at.x").alias("x"), F.col("at.y").alias("y"))
 
 
+@query("select n_nationkey, cast(n_nationkey * 2 as double) as x, cast(n_regionkey + 1 as double) as y from nation")
+def record_codec(spark, d):
+    pair = T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
+    moved = lambda now, by: F.struct((now["x"] + by["x"]).alias("x"), (now["y"] + by["y"]).alias("y"))
+    c = stored(spark, "codecs", n_nationkey="int32")
+    c.create_column("at", kind("record", merge=moved, codec=json_codec(pair)))
+    given = F.struct(F.col("n_nationkey").cast("double").alias("x"), F.col("n_regionkey").cast("double").alias("y"))
+    c.insert_many(spark.read.parquet(f"{d}/nation.parquet").select("n_nationkey", given.alias("at")))
+    with c.txn() as t:
+        t.select().merge(at=F.struct(F.col("n_nationkey").cast("double").alias("x"), F.lit(1.0).alias("y")))
+    s = c.select()
+    at = s.record("at").get()
+    return s.select("n_nationkey", at["x"].alias("x"), at["y"].alias("y"))
+
+
+SLUG = Kind("slug", T.StringType(), lambda now, x: F.concat_ws("-", now, x), store=lambda v: F.lower(F.replace(v, F.lit(" "), F.lit("-"))))
+
+
+@query("select n_nationkey, lower(replace(n_name, ' ', '-')) || '-next-one' as slug from nation")
+def registered_kind(spark, d):
+    register(SLUG)
+    c = stored(spark, "kinds", n_nationkey="int32")
+    c.create_column("slug", "slug")
+    c.insert_many(spark.read.parquet(f"{d}/nation.parquet").select("n_nationkey", F.col("n_name").alias("slug")))
+    with c.txn() as t:
+        t.select().merge(slug="Next One")
+    return c.select().select("n_nationkey", "slug")
+
+
 @query("select count(*) as before, count(*) as inside, count(*) + 1 as after from nation")
 def reads_committed_data_only(spark, d):
     c = nations(spark, d)

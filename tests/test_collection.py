@@ -1,10 +1,12 @@
+import struct
 import uuid
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillon.collection import Collection
-from quillon.functions.kinds import KINDS, infer, kind
+from quillon.functions.kinds import KINDS, Kind, infer, json_codec, kind, python_codec, register
 from quillon.sources.files import from_json, from_rows
 from quillon.sources.log import Log
 from quillon.sources.store import Conflict, Store
@@ -137,6 +139,13 @@ def test_custom_merges(spark, path):
         with c.txn() as t:
             t.select().merge(letters="b", name="merlin", age=7, tag="u", at={"x": 2.0})
     assert c.frame().select("letters", "name", "age", "tag", "at.x").first() == ("a, b, b", "merlin", 86, "t", 5.0)
+    again = Collection(spark, path, create=False)  # rules aren't stored: no merge by another rule in their place
+    with pytest.raises(ValueError, match="merge rule of age"), again.txn() as t:
+        t.select().merge(age=7)
+    again.merges["age"] = lambda v, d: v - d
+    with again.txn() as t:
+        t.select().merge(age=7, name="same")
+    assert again.frame().select("name", "age").first() == ("same", 79)
 
 
 def test_keys(spark, path):
@@ -335,3 +344,57 @@ def test_a_restored_collection_needs_no_snapshot(spark, path, tmp_path):
     other.restore(f"{tmp_path}/snap")
     other.store.delete(f"{tmp_path}/snap")
     assert rows(other, "age") == rows(c, "age")
+
+
+def _pack(v):
+    return struct.pack("<dd", v["x"], v["y"])
+
+
+def _unpack(b):
+    return dict(zip("xy", struct.unpack("<dd", b), strict=True))
+
+
+@pytest.mark.parametrize("form", ["json", "python"])
+def test_record_codecs(spark, path, form):
+    pair = infer({"x": 1.0, "y": 1.0}).type
+    codec = json_codec(pair) if form == "json" else python_codec(pair, _pack, _unpack)
+    c = Collection(spark, path)
+    moved = lambda v, d: F.struct((v["x"] + d["x"]).alias("x"), (v["y"] + d["y"]).alias("y"))
+    c.create_column("at", kind("record", merge=moved, codec=codec))
+    c.create_column("n", "int32")
+    c.insert(at={"x": 1.0, "y": 2.0}, n=0)
+    c.insert(n=1)  # no record
+    c.insert_many(spark.createDataFrame([((5.0, 6.0), 2)], "at struct<x: double, y: double>, n int"))
+    with c.txn() as t:
+        t.select().with_int("n", lambda n: n != 1).merge(at={"x": 1.0, "y": 1.0})
+    stored = {r.n: r["at"] for r in c.frame().collect()}
+    assert stored[1] is None and isinstance(stored[0], (bytes, bytearray))
+    if form == "python":
+        assert bytes(stored[0]) == struct.pack("<dd", 2.0, 3.0)
+    read = {r.row_id: r["at"] for r in c.select().record("at").rows().collect()}
+    assert read == {0: (2.0, 3.0), 1: None, 2: (6.0, 7.0)}
+    assert c.query_at(2, lambda r: r.record("at")) == (6.0, 7.0) and c.query_at(1, lambda r: r.record("at")) is None
+    again = Collection(spark, path, create=False)
+    assert again.query_at(0, lambda r: bytes(r.record("at"))) == bytes(stored[0])  # bytes, until the codec is given again
+    again.codecs["at"] = codec
+    assert again.query_at(0, lambda r: r.record("at")) == (2.0, 3.0)
+    with again.txn() as t:
+        t.query_at(1, lambda r: r.set_record("at", {"x": 8.0, "y": 9.0}))
+    assert again.query_at(1, lambda r: r.record("at")) == (8.0, 9.0)
+
+
+def test_kinds_of_ones_own(spark, path, monkeypatch):
+    monkeypatch.setattr("quillon.functions.kinds.KINDS", dict(KINDS))
+    slug = register(Kind("slug", T.StringType(), lambda v, d: F.concat_ws("-", v, d), store=lambda v: F.lower(F.replace(v, F.lit(" "), F.lit("-")))))
+    assert register(slug) is slug
+    with pytest.raises(ValueError, match="taken"):
+        register(Kind("int", T.StringType()))
+    with pytest.raises(ValueError, match="codec"):
+        kind("slug", codec=json_codec(T.LongType()))
+    c = Collection(spark, path)
+    c.create_column("name", "slug")
+    c.insert(name="The Old Man")
+    c.insert()
+    with c.txn() as t:
+        t.select().merge(name="And More")
+    assert [r[0] for r in Collection(spark, path, create=False).select().range("name").select("name").collect()] == ["the-old-man-and-more", "and-more"]
