@@ -149,17 +149,21 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def calibrated(scores: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
-    """Slope and offset by which sigmoid(slope * score + offset) fits the labels: Platt's scaling by Newton's method."""
-    spread = max(float(scores.std()), 1e-9)
+def calibrated(scores: np.ndarray, labels: np.ndarray, weight: np.ndarray | None = None) -> tuple[float, float]:
+    """Slope and offset by which sigmoid(slope * score + offset) fits the labels: Platt's scaling by Newton's method. weight: rows that each score stands for."""
+    if weight is None:
+        weight, spread = np.ones(len(scores)), float(scores.std())
+    else:
+        spread = float(np.sqrt(np.average((scores - np.average(scores, weights=weight)) ** 2, weights=weight)))
+    spread = max(spread, 1e-9)
     x = np.stack([scores / spread, np.ones_like(scores)], axis=1)
-    n1, n0 = float(labels.sum()), float(len(labels) - labels.sum())
+    n1, n0 = float(weight @ labels), float(weight @ (1 - labels))
     target = np.where(labels > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
     beta = np.array([1.0, np.log((n1 + 1) / (n0 + 1))])
     for _ in range(50):
         p = sigmoid(x @ beta)
-        gradient = x.T @ (p - target) + 1e-3 * beta
-        beta -= np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x + 1e-3 * np.eye(2), gradient).clip(-2, 2)
+        gradient = x.T @ (weight * (p - target)) + 1e-3 * beta
+        beta -= np.linalg.solve((x * (weight * (p * (1 - p) + 1e-6))[:, None]).T @ x + 1e-3 * np.eye(2), gradient).clip(-2, 2)
     return float(beta[0] / spread), float(beta[1])
 
 
