@@ -158,3 +158,36 @@ def test_set_forest_is_exact():
                 a, b = want[i], want[j]
                 want = [min(a, b) if t in (a, b) else t for t in want]
     assert top == want
+
+
+def test_wide_prints_of_similar_sets_are_within_the_radius():
+    rng = np.random.default_rng(11)
+    most, least = 0, 256
+    for common, a, b in [(4, 1, 0), (8, 2, 0), (8, 1, 1), (12, 3, 0), (16, 4, 0), (16, 2, 2), (40, 5, 5), (88, 11, 11), (400, 100, 0), (400, 50, 50)]:
+        for _ in range(300):
+            x = rng.integers(0, 2**64, common + a + b, dtype=np.uint64)
+            one, two, other = x[: common + a], np.delete(x, slice(common, common + a)), rng.integers(0, 2**64, common, dtype=np.uint64)
+            bits = [int.from_bytes(S.wide_print(y)) for y in (one, two, other)]
+            most, least = max(most, (bits[0] ^ bits[1]).bit_count()), min(least, (bits[0] ^ bits[2]).bit_count())
+    assert most <= S.WIDE_RADIUS - 8 and least > S.WIDE_RADIUS
+
+
+def test_live_tree_finds_what_was_not_taken():
+    rng = random.Random(6)
+    values = [rng.getrandbits(256) for _ in range(60)]
+    values += [v ^ (1 << rng.randrange(256)) for v in values] + values[:5]
+    tree, held = S.LiveTree(values), set(range(len(values)))
+    for n in rng.sample(range(len(values)), len(values)):
+        assert sorted(tree.within(values[n], 3)) == sorted(i for i in held if (values[i] ^ values[n]).bit_count() <= 3)
+        assert tree.take(n) and not tree.take(n)
+        held.remove(n)
+
+
+def test_similar_groups_link_by_fingerprints_within_the_radius(spark):
+    rng = random.Random(9)
+    words = [f"w{rng.random()}" for _ in range(200)]
+    rows = [(0, " ".join(words)), (1, " ".join(shifted(rng, words, 0.9))), (2, "\n".join(words))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    group = lambda **more: {r["doc_id"]: r["component_id"] for r in S.similar_groups(df, **more).collect()}
+    assert group() == {0: 0, 1: 0, 2: 0}
+    assert group(radius=0) == {0: 0, 1: 1, 2: 0}
