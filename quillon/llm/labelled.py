@@ -56,8 +56,8 @@ def sample(docs: DataFrame, labels: DataFrame, most: int) -> Sample:
     return Sample(rows.mapInArrow(_features, "doc_id long, label int, buckets binary, shares binary, counts binary").limit(4 * most).collect())
 
 
-#: Numbers of a sum that go through a shuffle as one row, and the tasks that add them up.
-PIECE, ADDERS = 1 << 14, 8
+#: Numbers of a sum that go through a shuffle as one row, the tasks that add them up, and the parts of the table that a task reads.
+PIECE, ADDERS, PARTS = 1 << 14, 8, 8
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,7 +74,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Packed:
-    """A batch of stored(): labels, counts, and buckets, shares and row numbers of all its rows together."""
+    """A batch of stored(): labels, counts, and the buckets and shares of all its rows together, and how many each has."""
 
     def __init__(self, batch: pa.RecordBatch):
         of = lambda name, kind: buffers(batch.column(name))[0].view(kind)
@@ -83,7 +83,18 @@ class Packed:
         self.counts = of("counts", np.float32).astype(np.float64).reshape(self.n, len(features.COUNTS))
         kinds = of("kinds", np.int32).reshape(self.n, -1)
         self.bucket = of("buckets", np.uint16) + np.repeat(np.tile(np.arange(kinds.shape[1], dtype=np.int32) << features.BITS, self.n), kinds.ravel())
-        self.share, self.row = of("shares", np.float32), np.repeat(np.arange(self.n), kinds.sum(axis=1))
+        self.share, self.sizes = of("shares", np.float32), kinds.sum(axis=1)
+
+    def linear(self, weights: np.ndarray) -> np.ndarray:
+        """Of each row, the sum of its shares times their buckets' weights."""
+        out, some = np.zeros(self.n), self.sizes > 0
+        if some.any():
+            out[some] = np.add.reduceat(self.share * weights[self.bucket], (np.cumsum(self.sizes) - self.sizes)[some])
+        return out
+
+    def gathered(self, own: np.ndarray) -> np.ndarray:
+        """Of each bucket, the sum of its shares times their rows' own."""
+        return np.bincount(self.bucket, self.share * np.repeat(own, self.sizes), features.SIZE)
 
 
 def stored(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -91,7 +102,9 @@ def stored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     known = labels.where("doc_id is not null and label in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("label").cast("int").alias("label")).distinct()
     text = F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text")
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text).join(known, "doc_id").select("label", "text")
-    return written(rows.mapInArrow(_packed, "label int, kinds binary, buckets binary, shares binary, counts binary"), "labelled")
+    found = written(rows.mapInArrow(_packed, "label int, kinds binary, buckets binary, shares binary, counts binary"), "labelled")
+    # a task of a pass has to begin and to send its sum, whatever it reads
+    return found.coalesce(max(docs.sparkSession.sparkContext.defaultParallelism, -(-found.rdd.getNumPartitions() // PARTS)))
 
 
 def summed(rows: DataFrame, size: int, of: Callable[[Packed], np.ndarray]) -> np.ndarray:

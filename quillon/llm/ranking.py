@@ -44,7 +44,7 @@ class Ranking:
 
 
 def strengths(rows: Packed, weights: np.ndarray, dense: np.ndarray) -> np.ndarray:
-    return np.bincount(rows.row, rows.share * weights[rows.bucket], rows.n) + rows.counts @ dense
+    return rows.linear(weights) + rows.counts @ dense
 
 
 def spread(strength: np.ndarray, labels: np.ndarray) -> np.ndarray:
@@ -89,7 +89,7 @@ def fit(rows: DataFrame, steps: int = STEPS, rate: float = 0.3, decay: float = 1
         def of(x: Packed) -> np.ndarray:
             strength = strengths(x, *sent.value)
             own = np.where(x.labels == 1, *(np.interp(strength, GRID, s) for s in reversed(slopes)))
-            return np.concatenate([np.bincount(x.bucket, x.share * own[x.row], features.SIZE), x.counts.T @ own])
+            return np.concatenate([x.gathered(own), x.counts.T @ own])
 
         return summed(rows, features.SIZE + len(v), of)
 
